@@ -85,9 +85,9 @@ def rebalance(rows: DataFrame, needed: DataFrame, by: list[str], picked_end: str
         "picked", F.col("picked") != F.coalesce("_moved", F.lit(False))).drop("_moved")
 
 
-def split_classes_buckets(rows: DataFrame, label: str, test: int, dev: int, buckets: int | str,
-                          seed: int = 42, key: str = "key") -> DataFrame:
-    """As ``split_classes``, but each length bucket gives its share of the evaluation rows."""
+def bucket_cut(rows: DataFrame, label: str, test: int, dev: int, buckets: int | str, seed: int = 42,
+               key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Evaluation side by length bucket, ``picked`` before and after the sizes were made exact."""
     known = rows.filter(F.col(label).isNotNull())
     targets = materialize(class_targets(rows, label, key, test, dev), "targets")
     table = buckets_of(known, buckets, [label])
@@ -96,19 +96,25 @@ def split_classes_buckets(rows: DataFrame, label: str, test: int, dev: int, buck
         label, "length_bucket", "bucket_rows", "bucket_target"), "cuts")
 
     ranked = rank_rows(assign_buckets(known, table, [label]), key_order(key), [label, "length_bucket"], "rank")
-    cut = lookup(ranked, cuts, [label, "length_bucket"])
-    picked = materialize(cut.withColumn("picked", F.col("rank") > F.col("bucket_rows") - F.col("bucket_target")).drop(
-        "bucket_rows", "bucket_target", "rank"), "picked")
+    cut = lookup(ranked, cuts, [label, "length_bucket"], freq="bucket_rows", spread_by=["row_id"])
+    picked = cut.withColumn("picked", F.col("rank") > F.col("bucket_rows") - F.col("bucket_target"))
+    picked = materialize(picked.drop("bucket_rows", "bucket_target", "rank"), "picked")
 
     have = picked.groupBy(label).agg(F.count_if("picked").alias("have"))
     needed = materialize(lookup(have, targets, [label]).select(
         label, (F.col("test_target") + F.col("dev_target") - F.col("have")).alias("needed")), "needed")
-    exact = lookup(rebalance(picked, needed, [label], "least", key), targets, [label])
+    return picked, lookup(rebalance(picked, needed, [label], "least", key), targets, [label])
+
+
+def split_classes_buckets(rows: DataFrame, label: str, test: int, dev: int, buckets: int | str,
+                          seed: int = 42, key: str = "key") -> DataFrame:
+    """As ``split_classes``, but each length bucket gives its share of the evaluation rows."""
+    _, exact = bucket_cut(rows, label, test, dev, buckets, seed, key)
     columns = [*rows.columns, "length_bucket", "split"]
     train = exact.filter(~F.col("picked")).withColumn("split", F.lit("train"))
     halves = shuffle_halves(exact.filter("picked"), label, seed)
     lost = dropped(rows, label).withColumn("length_bucket", F.lit(None).cast("long"))
-    return (train.select(columns).unionByName(halves.select(columns)).unionByName(lost.select(columns)))
+    return train.select(columns).unionByName(halves.select(columns)).unionByName(lost.select(columns))
 
 
 def fixed_train(rows: DataFrame, size: int, key: str = "key") -> DataFrame:
@@ -121,12 +127,11 @@ def fixed_train_buckets(rows: DataFrame, size: int, buckets: int | str, seed: in
                         key: str = "key") -> DataFrame:
     """Most likely rows of each length bucket, then moved to the exact train ``size``."""
     table = buckets_of(rows, buckets, [])
-    cuts = materialize(bucket_targets(bucket_counts(table), F.lit(size), seed).select(
-        "length_bucket", "bucket_target"), "cuts")
+    cuts = materialize(bucket_targets(bucket_counts(table), F.lit(size), seed), "cuts")
     ranked = rank_rows(assign_buckets(rows, table), key_order(key), ["length_bucket"], "rank")
-    cut = lookup(ranked, cuts, ["length_bucket"])
+    cut = lookup(ranked, cuts, ["length_bucket"], freq="bucket_rows", spread_by=["row_id"])
     picked = materialize(cut.withColumn("picked", F.col("rank") <= F.col("bucket_target")).drop(
-        "bucket_target", "rank"), "picked")
+        "bucket_rows", "bucket_target", "rank"), "picked")
     needed = picked.agg((F.least(F.lit(size), F.count(F.lit(1))) - F.count_if("picked")).alias("needed"))
     return rebalance(picked, needed, [], "most", key)
 

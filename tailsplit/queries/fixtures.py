@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailsplit.operators.joins import next_turn_pairs
+from tailsplit.sources.readers import spread
 
 SEED = 42
 
@@ -16,12 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """The unlabelled pool."""
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return spread(table(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "row_id")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled pool; class = quality."""
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumnRenamed("doc_id", "row_id")
+    return docs(spark, sf).join(table(spark, sf, "labels").withColumnRenamed("doc_id", "row_id"), "row_id")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
