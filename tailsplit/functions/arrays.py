@@ -42,16 +42,19 @@ def truncate_first(first: Column, second: Column, limit: int) -> tuple[Column, C
 
 
 def truncate_longest(first: Column, second: Column, limit: int) -> tuple[Column, Column]:
-    """Shorten the longer part until both fit; closed form of taking one id at a time.
+    """Shorten the longer part until both fit; a shorter part of at most half the limit stays whole.
 
-    Once the parts are level, the removals alternate and the second part loses first.
+    Otherwise each keeps half, and of an odd limit the longer part keeps the extra id (the
+    second one, if they are equally long).
     """
     n1, n2 = F.size(first), F.size(second)
-    small = F.floor(F.lit(limit) / 2).cast("int")
-    big = F.lit(limit) - small
-    keep1 = F.when(n1 + n2 <= limit, n1).when(n2 <= small, F.lit(limit) - n2).otherwise(F.least(n1, big))
-    keep2 = F.when(n1 + n2 <= limit, n2).otherwise(F.least(n2, F.lit(limit) - keep1))
-    return take(first, keep1), take(second, keep2)
+    half = limit // 2
+    fits, level = n1 + n2 <= limit, F.least(n1, n2) > half
+
+    def kept(mine: Column, other: Column, longer: Column) -> Column:
+        return (F.when(fits, mine).when(level, F.when(longer, F.lit(limit - half)).otherwise(F.lit(half)))
+                .when(longer, F.lit(limit) - other).otherwise(mine))
+    return take(first, kept(n1, n2, n1 > n2)), take(second, kept(n2, n1, n2 >= n1))
 
 
 def round_up(n: Column, multiple: int | None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tailsplit.functions.text import strip
+
 # Fixed prompt wording: scores are comparable only with exactly these strings.
 NLI_PLAIN = ("Premise: ", " Hypothesis:")
 NLI_BY_LABEL = {
@@ -19,7 +21,7 @@ def sql_prompt(query: Column, prefix: str = "", table_name: Column | None = None
                space_after_prefix: bool = False) -> tuple[Column, Column]:
     """Prefix, with the database name and a colon if given, and the trimmed question."""
     head = F.lit(prefix) if table_name is None else F.concat(F.lit(prefix), table_name, F.lit(":"))
-    body = F.trim(query)
+    body = strip(query)
     return head, F.concat(F.lit(" "), body) if space_after_prefix else body
 
 

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 NAME_MARK = ":"
 SCHEMA_MARK = " | "
+# White space in the wide sense: control characters and every Unicode separator.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space at either end."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(col, rf"^{WHITE}+|{WHITE}+\z", "")
+
+
+def white_split(text: Column | str) -> Column:
+    """White-space separated parts, none of them empty."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(col, f"{WHITE}+"), lambda t: t != "")
 
 
 def tokens(text: Column | str) -> Column:
@@ -76,13 +90,13 @@ def split_query_fields_all(df: DataFrame, query: str = "query") -> DataFrame:
 def strip_name(query: Column | str) -> Column:
     """Text after the first ``:``, trimmed; unchanged without one."""
     col = F.col(query) if isinstance(query, str) else query
-    return F.trim(F.coalesce(_rest(col, NAME_MARK), col))
+    return strip(F.coalesce(_rest(col, NAME_MARK), col))
 
 
 def strip_schema(query: Column | str) -> Column:
     """Text before the first `` | ``, trimmed."""
     col = F.col(query) if isinstance(query, str) else query
-    return F.trim(_head(col, SCHEMA_MARK))
+    return strip(_head(col, SCHEMA_MARK))
 
 
 def question_only(query: Column | str) -> Column:
@@ -101,5 +115,5 @@ def split_last_word(text: Column | str) -> tuple[Column, Column]:
 
 def normalize_prediction(text: Column | str, repair: bool = True) -> Column:
     """Trim; with ``repair`` also undo the split of ``<=`` that a subword vocabulary leaves."""
-    col = F.trim(F.col(text) if isinstance(text, str) else text)
+    col = strip(text)
     return F.replace(col, F.lit("< ="), F.lit(" <=")) if repair else col

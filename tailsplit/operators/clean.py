@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tailsplit.functions.text import strip
+
 # Fixed values of the raw files.
 NO_LABEL = "-"
 PLACEHOLDER = "Cannot see picture to describe."
@@ -26,7 +28,7 @@ def not_na(text: str) -> Column:
 
 def nonblank(line: str) -> Column:
     """A line with something other than white space on it."""
-    return F.length(F.regexp_replace(F.col(line), r"\s", "")) > 0
+    return F.length(strip(line)) > 0
 
 
 def clean_report(df: DataFrame, keep: Column, split: str = "split") -> DataFrame:

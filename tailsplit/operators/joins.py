@@ -34,7 +34,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], freq: str | None =
     * ``dim`` larger, with ``freq`` telling how often each key occurs: the keys that hold at
       least one ``rows``-th of all occurrences number at most ``rows``, so they are broadcast
       on a proven bound. The remaining keys, none of them hot, are shuffled. Rows already
-      answered by the broadcast get a spread-out key of their own there, so they match
+      answered by the broadcast, and rows with a null key, get a spread-out key of their own there, so they match
       nothing and gather nowhere; the salt is a hash of ``spread_by``, hence repeatable.
     * ``dim`` larger without ``freq``: plain join, left to adaptive execution.
     """
@@ -51,9 +51,12 @@ def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], freq: str | None =
     head = dim.filter(hot).select(*on, F.struct(*values).alias("_head"))
     tail = dim.filter(~hot).select(*on, F.struct(*values).alias("_tail"), F.lit(0).alias("_slot"))
     salt = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(SPREAD)).cast("int") + 1
+    answered = F.col("_head").isNotNull()
+    for c in on:
+        answered = answered | F.col(c).isNull()
     joined = (
         df.join(F.broadcast(head), on, "left")
-        .withColumn("_slot", F.when(F.col("_head").isNull(), F.lit(0)).otherwise(salt))
+        .withColumn("_slot", F.when(answered, salt).otherwise(F.lit(0)))
         .join(tail, [*on, "_slot"], "left")
     )
     found = F.coalesce("_head", "_tail")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailsplit.functions.text import tokens
+from tailsplit.functions.text import split_last_word, tokens
 from tailsplit.operators.joins import lookup
 from tailsplit.operators.ranking import first_in_group
 from tailsplit.scratch import materialize
@@ -131,7 +131,7 @@ def score_text(df: DataFrame, model: Unigram, text: str = "text", row_id: str =
     return row_scores(with_unigram_lp(occurrences, model, [row_id]), row_id)
 
 
-def _with_context(toks: Column, before: Column) -> Column:
+def with_context(toks: Column, before: Column) -> Column:
     """array<(ctx, token)>: every token with the one before it, ``before`` standing ahead of the first."""
     shifted = F.slice(F.concat(F.array(before), toks), F.lit(1), F.size(toks))
     return F.arrays_zip(shifted.alias("ctx"), toks.alias("token"))
@@ -141,7 +141,7 @@ def conditional_occurrences(df: DataFrame, prefix: str, target: str, keep: list[
     """(keep…, pos, ctx, token) for the tokens of ``target``; the first context is the last prefix token."""
     staged = df.select(*keep, F.try_element_at(tokens(prefix), F.lit(-1)).alias("_last"),
                        tokens(target).alias("_toks"))
-    return staged.select(*keep, F.posexplode_outer(_with_context(F.col("_toks"), F.col("_last"))).alias("pos", "_o")
+    return staged.select(*keep, F.posexplode_outer(with_context(F.col("_toks"), F.col("_last"))).alias("pos", "_o")
                          ).select(*keep, "pos", "_o.ctx", "_o.token")
 
 
@@ -152,6 +152,20 @@ def score_conditional(df: DataFrame, model: Bigram, prefix: str = "prefix", targ
     return row_scores(with_bigram_lp(occurrences, model, [row_id, "pos"]), row_id)
 
 
+def score_last_word(df: DataFrame, model: Bigram, text: str = "text", row_id: str = "row_id") -> DataFrame:
+    """(row_id, pos, token, ctx, ll, ll_score, ppl_score): the final word given all before it.
+
+    One row per token of the last word; join ``ctx`` to ``top_next_tokens`` for the alternatives.
+    """
+    context, last = split_last_word(text)
+    staged = df.select(row_id, context.alias("_prefix"), last.alias("_target"))
+    occ = conditional_occurrences(staged, "_prefix", "_target", [row_id])
+    scored = materialize(with_bigram_lp(occ, model, [row_id]), "last_word")
+    return scored.join(row_scores(scored, row_id).drop("n_tokens"), row_id).select(
+        row_id, F.col("pos").cast("long").alias("pos"), "token", "ctx", micro(F.col("lp")).alias("ll"),
+        "ll_score", "ppl_score")
+
+
 def score_summary(scores: DataFrame) -> DataFrame:
     """Mean, median, largest, smallest and spread of both scores, one row per score.
 
@@ -192,9 +206,10 @@ def top_next_tokens(model: Bigram, contexts: DataFrame | None = None, k: int = 1
     so one outside the top ``k`` is beaten by ``k`` others. The window keeps only ``k`` rows
     per context and task before its shuffle.
     """
-    known = model.contexts if contexts is None else contexts.join(model.contexts, "ctx", "left_semi")
-    pairs = model.pairs if contexts is None else model.pairs.join(
-        lookup_keys(contexts), "ctx", "left_semi")
+    known, pairs = model.contexts.select("ctx"), model.pairs
+    if contexts is not None:
+        known = materialize(known.join(contexts, "ctx", "left_semi"), "contexts")
+        pairs = pairs.join(known, "ctx", "left_semi")
     frequent = model.unigram.counts.orderBy(F.col("n").desc(), F.col("token")).limit(k).collect()
     every = F.explode(F.array(*[F.struct(F.lit(r["token"]).alias("token"), F.lit(0).cast("long").alias("n_pair"))
                                 for r in frequent]))
@@ -208,10 +223,6 @@ def top_next_tokens(model: Bigram, contexts: DataFrame | None = None, k: int = 1
     return first_in_group(scored, [F.col("p").desc(), F.col("token").asc()], ["ctx"], k, "next_rank")
 
 
-def lookup_keys(contexts: DataFrame) -> DataFrame:
-    return contexts.select("ctx").distinct()
-
-
 def score_external(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], tuple]], columns: list[str],
                    row_id: str = "row_id", batch_rows: int | None = None) -> DataFrame:
     """Scores of a user's own model, run on Arrow batches where the rows are.

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailsplit.functions.text import tokens
+from tailsplit.functions.text import tokens, white_split
 
 
 def exact_median(df: DataFrame, value: str) -> float | None:
@@ -68,9 +68,8 @@ def round_metrics(metrics: DataFrame, digits: int = 4) -> DataFrame:
 
 def sequence_accuracy(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """Share of rows whose white-space separated tokens are the same on both sides."""
-    def parts(c: str) -> Column:
-        return F.filter(F.split(F.col(c), r"\s+"), lambda t: t != "")
-    return df.agg(F.round(F.avg(parts(pred).eqNullSafe(parts(ref)).cast("double")), 6).alias("seq_accuracy"))
+    same = white_split(pred).eqNullSafe(white_split(ref))
+    return df.agg(F.round(F.avg(same.cast("double")), 6).alias("seq_accuracy"))
 
 
 def generated_length(df: DataFrame, ids: str, pad: int) -> DataFrame:

@@ -6,11 +6,11 @@ texts are joined back by ``row_id`` only where they are written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailsplit.operators.joins import lookup
-from tailsplit.operators.ranking import first_in_group, rank_rows, seeded_order
+from tailsplit.operators.ranking import first_in_group, key_order, rank_rows, seeded_order
 from tailsplit.operators.targets import (assign_buckets, bucket_counts, bucket_targets, class_targets,
                                          length_histogram, quantile_buckets, unique_length_buckets)
 from tailsplit.scratch import materialize
@@ -18,13 +18,6 @@ from tailsplit.scratch import materialize
 UNIQUE_LENGTHS = "unique"
 
 
-def key_order(key: str = "key", row_id: str = "row_id", reverse: bool = False) -> list[Column]:
-    """Most likely first, missing scores last, ties by id; or exactly the reverse."""
-    if reverse:
-        return [F.col(key).desc_nulls_first(), F.col(row_id).desc()]
-    return [F.col(key).asc_nulls_last(), F.col(row_id).asc()]
-
-
 def shuffle_halves(evaluation: DataFrame, label: str, seed: int) -> DataFrame:
     """Shuffle each class by the seed; the first ``test_target`` rows are test, the others dev."""
     mixed = rank_rows(evaluation.withColumn("_mix", seeded_order(seed)),

@@ -177,18 +177,18 @@ SCORED_SQL = SIDED + halves_sql(", ll_score, ppl_score")
 @query("sort_stable", base_sql("ll", "d") +
        "SELECT row_id, ll_score, row_number() OVER (ORDER BY key NULLS LAST, row_id) AS rank FROM base")
 def sort_stable(spark, sf):
-    return ranking.rank_rows(pool(spark, sf), splits.key_order()).select("row_id", "ll_score", "rank")
+    return ranking.rank_rows(pool(spark, sf), ranking.key_order()).select("row_id", "ll_score", "rank")
 
 
 @query("rank_global", base_sql("ppl", "d") +
        "SELECT row_id, ppl_score, row_number() OVER (ORDER BY key NULLS LAST, row_id) AS rank FROM base")
 def rank_global(spark, sf):
-    return ranking.rank_rows(pool(spark, sf, "ppl"), splits.key_order()).select("row_id", "ppl_score", "rank")
+    return ranking.rank_rows(pool(spark, sf, "ppl"), ranking.key_order()).select("row_id", "ppl_score", "rank")
 
 
 @query("rank_class", base_sql("ll") + RANKED + "SELECT row_id, label, ll_score, rank FROM ranked")
 def rank_class(spark, sf):
-    return ranking.rank_rows(classes(spark, sf), splits.key_order(), ["label"]).select(
+    return ranking.rank_rows(classes(spark, sf), ranking.key_order(), ["label"]).select(
         "row_id", "label", "ll_score", "rank")
 
 
@@ -206,7 +206,7 @@ def rank_class_large(spark, sf):
 def rank_class_bucket(spark, sf):
     base = classes(spark, sf)
     rows = targets.assign_buckets(base, splits.buckets_of(base, K_BUCKETS, ["label"]), ["label"])
-    return ranking.rank_rows(rows, splits.key_order(), ["label", "length_bucket"]).select(
+    return ranking.rank_rows(rows, ranking.key_order(), ["label", "length_bucket"]).select(
         "row_id", "label", "length_bucket", "rank")
 
 
@@ -310,7 +310,7 @@ def split_complement(spark, sf):
 def shuffle_halves(spark, sf):
     base = classes(spark, sf)
     wanted = targets.class_targets(base, "label", "key", tenth(base), tenth(base))
-    ranked = ranking.rank_rows(base, splits.key_order(), ["label"]).join(wanted, "label")
+    ranked = ranking.rank_rows(base, ranking.key_order(), ["label"]).join(wanted, "label")
     rest = ranked.filter(F.col("rank") > F.col("class_rows") - F.col("test_target") - F.col("dev_target"))
     return splits.shuffle_halves(rest, "label", SEED).select("row_id", "label", "split")
 

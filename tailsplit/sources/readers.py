@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailsplit.functions.text import strip
+from tailsplit.operators.clean import nonblank
+
 # File extensions and the readers they stand for.
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "json", "txt": "text", "parquet": "parquet"}
 TEXT_TO_SQL = "query string, parse string"
@@ -46,8 +49,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """Non-blank lines cut at ``sep`` into ``columns``; missing fields are null."""
-    line = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), sep)
-    return (spark.read.text(path).filter(F.length(F.regexp_replace("value", r"\s", "")) > 0)
+    line = F.split(strip("value"), sep)
+    return (spark.read.text(path).filter(nonblank("value"))
             .select(*[F.get(line, F.lit(i)).alias(c) for i, c in enumerate(columns)]))
 
 
