@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailsplit.functions.text import tokens
+from tailsplit.operators.joins import lookup
 from tailsplit.operators.ranking import first_in_group, key_order, rank_rows
 from tailsplit.scratch import materialize
 
@@ -44,17 +45,21 @@ def holders(rows: DataFrame, atoms: DataFrame, row_id: str = "row_id") -> DataFr
 
 
 def missing_atoms(held: DataFrame) -> DataFrame:
-    """(atom, rank): atoms of the unpicked side that the picked side lacks, with their most likely holder.
+    """(atom, rank, n_holders): atoms of the unpicked side that the picked side lacks, with the rank of
+    their most likely holder.
 
     One aggregation over both sides; an atom in most of the rows costs one partial row per task.
     """
-    per_atom = held.groupBy("atom").agg(F.bool_or("picked").alias("_known"), F.min("rank").alias("rank"))
-    return per_atom.filter(~F.col("_known")).select("atom", "rank")
+    per_atom = held.groupBy("atom").agg(F.bool_or("picked").alias("_known"), F.min("rank").alias("rank"),
+                                        F.count(F.lit(1)).alias("n_holders"))
+    return per_atom.filter(~F.col("_known")).select("atom", "rank", "n_holders")
 
 
 def atom_carriers(held: DataFrame, missing: DataFrame) -> DataFrame:
     """Row ids of the unpicked side that carry a missing atom."""
-    return held.join(missing.select("atom"), "atom", "left_semi").select("row_id").distinct()
+    wanted = materialize(missing.select("atom", "n_holders"), "missing")
+    found = lookup(held.filter(~F.col("picked")), wanted, ["atom"], freq="n_holders", spread_by=["row_id"])
+    return found.filter(F.col("n_holders").isNotNull()).select("row_id").distinct()
 
 
 def balance_atoms(rows: DataFrame, atoms: DataFrame, key: str = "key") -> tuple[DataFrame, dict[str, int]]:

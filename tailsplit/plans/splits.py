@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tailsplit.operators.clean import clean_report, label_given, not_na, not_placeholder
 from tailsplit.operators.joins import lookup
 from tailsplit.operators.ranking import first_in_group, key_order, rank_rows, seeded_order
 from tailsplit.operators.targets import (assign_buckets, bucket_counts, bucket_targets, class_targets,
                                          length_histogram, quantile_buckets, unique_length_buckets)
 from tailsplit.scratch import materialize
+from tailsplit.sources.readers import origin_id
 
 UNIQUE_LENGTHS = "unique"
 
@@ -26,6 +28,14 @@ def shuffle_halves(evaluation: DataFrame, label: str, seed: int) -> DataFrame:
         "split", F.when(F.col("_turn") <= F.col("test_target"), "test").otherwise("dev")).drop("_mix", "_turn")
 
 
+def split_standard(rows: DataFrame, label: str, first: str, second: str, split: str = "split",
+                   row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """The original splits without unusable rows, ids naming their origin; and the report of what went."""
+    keep = label_given(label) & not_placeholder(first) & not_na(second)
+    tagged = rows.withColumn("origin_id", origin_id(F.col(split), F.col(row_id)))
+    return tagged.filter(keep), clean_report(rows, keep, split)
+
+
 def dropped(rows: DataFrame, label: str) -> DataFrame:
     """Rows without a label belong to no class; they are reported, not lost."""
     return rows.filter(F.col(label).isNull()).withColumn("split", F.lit("dropped"))

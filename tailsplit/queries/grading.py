@@ -146,7 +146,7 @@ GRADED = with_(CL, LISTS, KEYWORDS) + f""",
     exact AS (SELECT query_id, own * (label_total = pred_total AND cnt = pred_total)::BIGINT AS exact FROM own JOIN iuen USING (query_id)),
     comp AS (SELECT query_id, count_if(clause='where') AS nw, count_if(clause='groupBy') AS ng, count_if(clause='orderBy') AS no,
       count_if(clause='limit') AS nl, count_if(clause='from') AS nf, count_if(clause='select') AS ns,
-      count_if(clause IN ('where','having','on') AND conn='or') AS nor, count_if(clause IN ('where','having','on') AND op='like') AS nlike,
+      count(*) FILTER (clause IN ('where','having','on') AND conn='or') AS nor, count_if(clause IN ('where','having','on') AND op='like') AS nlike,
       count_if(clause IN ('select','groupBy','orderBy') AND has_agg) + count_if(clause IN ('where','having') AND is_not)
       + count_if(clause='having' AND conn IS NOT NULL) AS nagg FROM gold GROUP BY query_id),
     kidn AS (SELECT parent_id AS query_id, count(*) AS c2 FROM kids WHERE in_gold GROUP BY parent_id),
