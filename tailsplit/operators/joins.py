@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A whole table up to this size is broadcast; of a larger one, at most HEAD_ROWS hot keys are.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+HEAD_ROWS = 100_000
 SPREAD = 4096
 
 
@@ -27,19 +29,19 @@ def fits_broadcast(dim: DataFrame, rows: int | None = None, size: int | None = N
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], freq: str | None = None,
-           spread_by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+           spread_by: Sequence[str] = (), rows: int | None = None, head_rows: int | None = None) -> DataFrame:
     """Left join of ``df`` to ``dim`` (unique on ``on``) that no hot key can stall.
 
     * ``dim`` small after counting it: broadcast.
     * ``dim`` larger, with ``freq`` telling how often each key occurs: the keys that hold at
-      least one ``rows``-th of all occurrences number at most ``rows``, so they are broadcast
-      on a proven bound. The remaining keys, none of them hot, are shuffled. Rows already
+      least one ``head_rows``-th of all occurrences number at most ``head_rows``, so they are
+      broadcast on a proven bound. The remaining keys, none of them hot, are shuffled. Rows already
       answered by the broadcast, and rows with a null key, get a spread-out key of their own there, so they match
       nothing and gather nowhere; the salt is a hash of ``spread_by``, hence repeatable.
     * ``dim`` larger without ``freq``: plain join, left to adaptive execution.
     """
     on = list(on)
-    rows = BROADCAST_ROWS if rows is None else rows
+    head_rows = HEAD_ROWS if head_rows is None else head_rows
     if fits_broadcast(dim, rows):
         return df.join(F.broadcast(dim), on, "left")
     if freq is None:
@@ -47,7 +49,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], freq: str | None =
 
     values = [c for c in dim.columns if c not in on]
     total = dim.agg(F.sum(freq)).first()[0]
-    hot = F.col(freq) * F.lit(rows) >= F.lit(total)
+    hot = F.col(freq) * F.lit(head_rows) >= F.lit(total)
     head = dim.filter(hot).select(*on, F.struct(*values).alias("_head"))
     tail = dim.filter(~hot).select(*on, F.struct(*values).alias("_tail"), F.lit(0).alias("_slot"))
     salt = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(SPREAD)).cast("int") + 1

@@ -6,7 +6,7 @@ the rows, so a score is the same for every partitioning and ties between equal t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -59,24 +59,28 @@ class Bigram:
 
 def fit_unigram(df: DataFrame, text: str = "text", add_k: float = ADD_K) -> Unigram:
     """Token counts of a whole corpus; the counts are combined before the shuffle."""
-    counts = df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts, "unigram")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    return Unigram(counts, total, vocabulary, add_k)
+    return _unigram(df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n")), add_k)
 
 
-def pair_array(toks: Column) -> Column:
-    """array<(ctx, token)> of neighbouring tokens."""
-    n = F.greatest(F.size(toks) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(toks, F.lit(1), n).alias("ctx"), F.slice(toks, F.lit(2), n).alias("token"))
+def _unigram(counts: DataFrame, add_k: float) -> Unigram:
+    counts = materialize(counts, "unigram")
+    total, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return Unigram(counts, total, size, add_k)
 
 
 def fit_bigram(df: DataFrame, text: str = "text", add_k: float = ADD_K, weight: float = PAIR_WEIGHT) -> Bigram:
-    """Unigram and neighbouring-pair counts."""
-    unigram = fit_unigram(df, text, add_k)
-    toks = df.select(tokens(text).alias("toks"))
-    pairs = toks.select(F.inline(pair_array(F.col("toks"))).alias("ctx", "token"))
-    pairs = materialize(pairs.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("n_pair")), "pairs")
+    """Neighbouring-pair counts, and from them the context and the unigram counts.
+
+    The texts are read once: every token is counted with the token before it, the first one of
+    a row with a null context, so that the pair counts of a token add up to its own count.
+    """
+    both = with_context(tokens(text), F.lit(None).cast("string"))
+    counted = df.select(F.inline(both).alias("ctx", "token")).groupBy("ctx", "token").agg(
+        F.count(F.lit(1)).alias("n_pair"))
+    counted = materialize(counted, "pairs")
+    unigram = _unigram(counted.groupBy("token").agg(F.sum("n_pair").alias("n")), add_k)
+    pairs = counted.filter(F.col("ctx").isNotNull())
     contexts = materialize(pairs.groupBy("ctx").agg(F.sum("n_pair").alias("n_ctx")), "contexts")
     return Bigram(unigram, pairs, contexts, weight)
 
@@ -112,23 +116,25 @@ def with_bigram_lp(occurrences: DataFrame, model: Bigram, spread_by: list[str])
     return out.withColumn("lp", F.when(F.col("token").isNotNull(), nano_log(p))).drop("n", "n_pair", "n_ctx")
 
 
-def row_scores(scored: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """(row_id, n_tokens, ll_score, ppl_score) from scored occurrences.
+def row_scores(scored: DataFrame, row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, keep…, n_tokens, ll_score, ppl_score) from scored occurrences.
 
     An empty text has likelihood 0 and no perplexity.
     """
-    nll = scored.groupBy(row_id).agg(F.count("lp").alias("n_tokens"), F.coalesce(F.sum("lp"), F.lit(0)).alias("s"))
-    return nll.select(row_id, "n_tokens", micro(F.col("s")).alias("ll_score"),
+    nll = scored.groupBy(row_id, *keep).agg(F.count("lp").alias("n_tokens"),
+                                            F.coalesce(F.sum("lp"), F.lit(0)).alias("s"))
+    return nll.select(row_id, *keep, "n_tokens", micro(F.col("s")).alias("ll_score"),
                       F.round(F.exp(-F.try_divide(F.col("s") / F.lit(NANO), F.col("n_tokens"))), 6).alias("ppl_score"))
 
 
-def score_text(df: DataFrame, model: Unigram, text: str = "text", row_id: str = "row_id") -> DataFrame:
-    """Unconditional log-likelihood and perplexity per row.
+def score_text(df: DataFrame, model: Unigram, text: str = "text", row_id: str = "row_id",
+               keep: Sequence[str] = ()) -> DataFrame:
+    """Unconditional log-likelihood and perplexity per row, with the narrow columns ``keep``.
 
     Within a task all known tokens of a row fold into one partial sum before the shuffle.
     """
-    occurrences = df.select(row_id, F.explode_outer(tokens(text)).alias("token"))
-    return row_scores(with_unigram_lp(occurrences, model, [row_id]), row_id)
+    occurrences = df.select(row_id, *keep, F.explode_outer(tokens(text)).alias("token"))
+    return row_scores(with_unigram_lp(occurrences, model, [row_id]), row_id, keep)
 
 
 def with_context(toks: Column, before: Column) -> Column:

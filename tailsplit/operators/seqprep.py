@@ -44,9 +44,9 @@ def encode(df: DataFrame, vocab: DataFrame, columns: dict[str, str], row_id: str
 def pad_batches(encoded: DataFrame, ids: str, labels: str, batch: int, multiple: int | None = 8,
                 row_id: str = "row_id") -> DataFrame:
     """Batches padded to their longest row: inputs on the left, labels on the right, with both masks."""
-    sized = encoded.withColumns({"_n": F.size(ids), "_m": F.size(labels)})
-    grouped = batch_groups(sized, "_n", batch, row_id).withColumnRenamed("batch_width", "_w")
-    grouped = batch_groups(grouped.drop("batch_id"), "_m", batch, row_id).withColumnRenamed("batch_width", "_v")
+    encoded = materialize(encoded, "encoded")
+    sized = encoded.select(row_id, F.size(ids).alias("_n"), F.size(labels).alias("_m"))
+    grouped = encoded.join(batch_groups(sized, {"_w": "_n", "_v": "_m"}, batch, row_id), row_id)
     width, label_width = arrays.round_up(F.col("_w"), multiple), arrays.round_up(F.col("_v"), multiple)
     return grouped.select(
         row_id, "batch_id",

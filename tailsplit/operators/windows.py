@@ -81,9 +81,13 @@ def corpus_windows(df: DataFrame, model: lm.Unigram, text: str = "text", row_id:
     return per_window.withColumns(bounds).withColumn("ll", lm.micro(F.col("s"))).drop("s")
 
 
-def batch_groups(rows: DataFrame, size: str, batch: int, row_id: str = "row_id") -> DataFrame:
-    """Add ``batch_id`` (consecutive groups of ``batch`` rows by id) and ``batch_width``, the longest in it."""
-    ranked = rank_rows(rows, [F.col(row_id).asc()], name="_r")
-    grouped = ranked.withColumn("batch_id", F.floor((F.col("_r") - 1) / batch).cast("long")).drop("_r")
+def batch_groups(rows: DataFrame, sizes: dict[str, str], batch: int, row_id: str = "row_id") -> DataFrame:
+    """(row_id, batch_id, one width per entry of ``sizes`` {width: size column}).
+
+    Groups of ``batch`` rows in id order, with the longest size in each. Pass a narrow table.
+    """
+    ranked = rank_rows(rows.select(row_id, *sizes.values()), [F.col(row_id).asc()], name="_r")
+    grouped = ranked.withColumn("batch_id", F.floor((F.col("_r") - 1) / batch).cast("long"))
     # A batch holds at most ``batch`` rows, and so does the window.
-    return grouped.withColumn("batch_width", F.max(size).over(Window.partitionBy("batch_id")))
+    group = Window.partitionBy("batch_id")
+    return grouped.select(row_id, "batch_id", *[F.max(size).over(group).alias(width) for width, size in sizes.items()])

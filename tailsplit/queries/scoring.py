@@ -222,7 +222,7 @@ def corpus_token_stream(spark, sf):
        (SELECT row_id, len({tok('text')}) AS length, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch_id FROM d)""")
 def batch_groups(spark, sf):
     rows = docs(spark, sf).select("row_id", token_length("text").alias("length"))
-    return windows.batch_groups(rows, "length", 8)
+    return rows.join(windows.batch_groups(rows, {"batch_width": "length"}, 8), "row_id")
 
 
 # --- atoms -------------------------------------------------------------------------------

@@ -17,14 +17,14 @@ K_BUCKETS = 4
 
 def scored(pool: DataFrame, label: str | None, kind: str) -> DataFrame:
     """Narrow table (row_id, label, length, ll_score, ppl_score, key), written once."""
-    keep = ["row_id", *([F.col(label).alias("label")] if label else []), token_length("text").alias("length")]
-    narrow = pool.select(*keep)
-    if kind == "random":
-        return materialize(narrow.withColumn("key", ranking.seeded_order(SEED)), "base")
-    if kind == "length":
-        return materialize(narrow.withColumn("key", F.col("length")), "base")
-    scores = lm.score_text(pool, lm.fit_unigram(pool)).drop("n_tokens")
-    base = narrow.join(scores, "row_id")
+    keep = ["label"] if label else []
+    rows = pool.withColumn("label", F.col(label)) if label else pool
+    if kind in ("random", "length"):
+        key = ranking.seeded_order(SEED) if kind == "random" else F.col("length")
+        narrow = rows.select("row_id", *keep, token_length("text").alias("length"))
+        return materialize(narrow.withColumn("key", key), "base")
+    # The scorer counts the tokens anyway, so the texts are not cut a second time for the length.
+    base = lm.score_text(rows, lm.fit_unigram(rows), keep=keep).withColumnRenamed("n_tokens", "length")
     if kind == "custom":
         base = base.withColumn("ppl_score", F.round(custom_perplexity("ll_score", "length"), 6))
     column, by = ("ll_score", "ll") if kind == "ll" else ("ppl_score", "ppl")
@@ -218,6 +218,12 @@ def class_targets(spark, sf):
     return targets.class_targets(base, "label", "key", tenth(base), tenth(base))
 
 
+@query("filter_class", base_sql("ll") + "SELECT row_id, ll_score, row_number() OVER (ORDER BY key NULLS LAST, row_id) AS rank FROM base WHERE label = 1")
+def filter_class(spark, sf):
+    one = classes(spark, sf).filter(F.col("label") == 1)
+    return ranking.rank_rows(one, ranking.key_order()).select("row_id", "ll_score", "rank")
+
+
 @query("length_histogram", base_sql("length") + hist_sql("label") + "SELECT label, length, n_rows FROM hist")
 def length_histogram(spark, sf):
     return targets.length_histogram(classes(spark, sf, "length"), ["label"])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tailsplit.functions import arrays, prompts, text as tx
 from tailsplit.operators import clean, joins, lm, metrics, seqprep
+from tailsplit.operators.windows import batch_groups
 from tailsplit.plans import splits
 from tailsplit.queries.fixtures import (CV, D, DL, SQLROWS, docs, labelled, pairs, sql_rows, table, tok, unigram,
                                         with_)
@@ -51,41 +50,54 @@ def src_jsonl(spark, sf):
 
 
 def metadata_file(spark, sf) -> str:
-    """A JSON array describing the given tables as one database; names only."""
-    names, columns = [], [[-1, "*"]]
-    for name in TABLES:
-        names.append(name)
-        columns += [[len(names) - 1, c.upper()] for c in table(spark, sf, name).columns]
-    keys = [[i, j] for i, a in enumerate(columns) for j, b in enumerate(columns)
-            if i < j and a[1].split("_")[-1] == b[1].split("_")[-1] and a[1].endswith("KEY")]
-    meta = [{"db_id": "shop", "table_names_original": names, "column_names_original": columns, "foreign_keys": keys}]
+    """Database metadata as JSON: every order is a database, its lines name tables and columns."""
+    lines = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("db"), F.col("l_orderkey").cast("string")).alias("db_id"),
+        F.concat(F.lit("T"), (F.col("l_suppkey") % 3).cast("string")).alias("t"),
+        F.concat(F.lit("Col"), (F.col("l_partkey") % 7).cast("string")).alias("c")).distinct()
+    made = lines.groupBy("db_id").agg(F.array_sort(F.collect_set("t")).alias("tables"),
+                                      F.array_sort(F.collect_set(F.struct("t", "c"))).alias("cols"))
+    named = F.transform("cols", lambda x: F.array((F.array_position("tables", x["t"]) - 1).cast("string"), x["c"]))
+    meta = made.select(F.array(F.struct(
+        "db_id", F.col("tables").alias("table_names_original"),
+        F.concat(F.array(F.array(F.lit("-1"), F.lit("*"))), named).alias("column_names_original"),
+        F.array().cast("array<array<int>>").alias("foreign_keys"))).alias("value"))
     path = new_path(spark, "meta")
-    spark.createDataFrame([(json.dumps(meta),)], "value string").write.text(path)
+    meta.select(F.to_json("value").alias("value")).write.text(path)
     return path
 
 
-def catalog_sql() -> str:
-    """Catalog rows as SQL over the described tables."""
-    parts = []
-    for i, name in enumerate(TABLES):
-        parts.append(f"SELECT {i} AS t, '{name}' AS table_name, column_name, row_number() OVER () AS i FROM (DESCRIBE {name})")
-    return ("WITH c AS (" + " UNION ALL ".join(parts) + """),
-        cols AS (SELECT 'shop' AS db_id, NULL AS table_name, '*' AS column_name, 0::BIGINT AS pos, '__all__' AS col_id
-        UNION ALL SELECT 'shop', table_name, lower(column_name), row_number() OVER (ORDER BY t, i),
-        '__' || table_name || '.' || lower(column_name) || '__' FROM c) """)
+@query("src_json_meta", """WITH c AS (SELECT DISTINCT 'db' || l_orderkey AS db_id, 't' || (l_suppkey % 3) AS table_name, 'col' || (l_partkey % 7) AS column_name FROM lineitem)
+       SELECT db_id, table_name, column_name, row_number() OVER (PARTITION BY db_id ORDER BY table_name, column_name) AS pos,
+       '__' || table_name || '.' || column_name || '__' AS col_id FROM c
+       UNION ALL SELECT DISTINCT db_id, NULL, '*', 0, '__all__' FROM c""")
+def src_json_meta(spark, sf):
+    return catalog.catalog_rows(catalog.read_meta(spark, metadata_file(spark, sf), multi_line=False))
 
 
-@query("src_json_meta", catalog_sql() + "SELECT db_id, table_name, column_name, pos, col_id FROM cols")
-def src_json_meta(spark, sf):
-    return catalog.catalog_rows(catalog.read_meta(spark, metadata_file(spark, sf)))
+def catalog_sql() -> str:
+    """Columns of all tables with the number of values in each."""
+    parts = []
+    for name in TABLES:
+        parts.append(f"""SELECT '{name}' AS table_name, lower(column_name) AS column_name, row_number() OVER () - 1 AS pos,
+            '__{name}.' || lower(column_name) || '__' AS col_id FROM (DESCRIBE {name})""")
+    counts = [f"SELECT '{name}' AS table_name, lower(c) AS column_name, n FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {name}) ON COLUMNS(*) INTO NAME c VALUE n)"
+              for name in TABLES]
+    return f"""WITH cols AS ({' UNION ALL '.join(parts)}), counts AS ({' UNION ALL '.join(counts)})
+        SELECT cols.*, n AS n_values FROM cols JOIN counts USING (table_name, column_name)"""
 
 
-@query("src_catalog", catalog_sql() + "SELECT table_name, column_name, row_number() OVER (PARTITION BY table_name ORDER BY pos) - 1 AS pos, col_id FROM cols WHERE pos > 0")
+@query("src_catalog", catalog_sql())
 def src_catalog(spark, sf):
+    counts = None
     for name in TABLES:
-        table(spark, sf, name).createOrReplaceTempView(name)
-    known = catalog.session_catalog(spark)
-    return known.filter(F.col("table_name").isin(*TABLES))
+        data = table(spark, sf, name)
+        data.createOrReplaceTempView(name)
+        one = data.agg(*[F.count(c).alias(c.lower()) for c in data.columns])
+        one = one.unpivot([], one.columns, "column_name", "n_values").withColumn("table_name", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    known = catalog.session_catalog(spark).filter(F.col("table_name").isin(*TABLES))
+    return known.join(counts, ["table_name", "column_name"])
 
 
 @query("src_lines", with_(SQLROWS) + rf"""SELECT regexp_replace(query, '{WHITE}+', ' ', 'g') AS sql, 'db' AS db_id FROM sqlrows""")
@@ -297,8 +309,8 @@ def clean_na_text(spark, sf):
     return described(spark, sf).filter(clean.not_na("hypothesis")).select("row_id", "hypothesis")
 
 
-@query("clean_report", with_(DL) + f"""SELECT lang AS split, count(*) AS base_rows, count_if({NO_LABEL} = '-') AS dropped_rows,
-       count_if({NO_LABEL} <> '-') AS retained_rows FROM dl GROUP BY lang""")
+@query("clean_report", with_(DL) + f"""SELECT lang AS split, count(*) AS base_rows, count_if({NO_LABEL} = '-')::BIGINT AS dropped_rows,
+       count_if({NO_LABEL} <> '-')::BIGINT AS retained_rows FROM dl GROUP BY lang""")
 def clean_report(spark, sf):
     return clean.clean_report(annotated(spark, sf).withColumn("split", F.col("lang")), clean.label_given("gold_label"))
 
@@ -373,7 +385,7 @@ def accuracy(spark, sf):
     return metrics.accuracy(labelled(spark, sf).withColumn("pred", 1 - F.col("toxic")), "pred", "quality")
 
 
-@query("argmax_pred", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS pred FROM embeddings")
+@query("argmax_pred", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS pred FROM embeddings")
 def argmax_pred(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", metrics.argmax(F.col("embedding")).alias("pred"))
 
@@ -526,10 +538,10 @@ def unmask_labels(spark, sf):
 
 
 def padded(spark, sf):
-    from tailsplit.operators.windows import batch_groups
-    rows = batch_groups(doc_ids(spark, sf).withColumn("n", F.size("ids")), "n", 8)
-    return rows.select("row_id", arrays.pad_to(F.col("ids"), arrays.round_up(F.col("batch_width"), 8),
-                                               seqprep.PAD).alias("padded"))
+    rows = materialize(doc_ids(spark, sf), "ids")
+    widths = batch_groups(rows.select("row_id", F.size("ids").alias("n")), {"width": "n"}, 8)
+    return rows.join(widths, "row_id").select(
+        "row_id", arrays.pad_to(F.col("ids"), arrays.round_up(F.col("width"), 8), seqprep.PAD).alias("padded"))
 
 
 @query("gen_len", PADDED + "SELECT round(avg(len(ids)), 6) AS gen_len FROM pad")

@@ -13,9 +13,12 @@ RAW_META_SCHEMA = ("db_id string, table_names_original array<string>, "
 ALL_COLUMNS = "__all__"
 
 
-def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array with one object per database."""
-    raw = spark.read.schema(RAW_META_SCHEMA).option("multiLine", True).json(path)
+def read_meta(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON arrays with one object per database: one array per file, or one per line.
+
+    Only files with an array per line can be read by several tasks.
+    """
+    raw = spark.read.schema(RAW_META_SCHEMA).option("multiLine", multi_line).json(path)
     return raw.select(
         "db_id", "table_names_original",
         F.transform("column_names_original", lambda c: F.struct(
