@@ -17,6 +17,8 @@ ever gathered: a query of any size is counted with partial aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,113 +46,149 @@ def _clause(*names: str) -> Column:
     return F.col("clause").isin(*names)
 
 
-def _kinds(*pairs: tuple[Column, str, Column]) -> Column:
-    """Array of (type, key), one entry per pair whose condition holds."""
-    entries = [F.when(cond, F.struct(F.lit(kind).alias("type"), key.alias("key"))) for cond, kind, key in pairs]
-    return F.array_compact(F.array(*entries))
+# Types whose keys are multisets, sets of words, and ordered or unordered lists.
+BAGS = ("select", "select(no AGG)", "where", "where(no OP)", "group(no Having)")
+WORDS = ("keywords", "connectors")
+LISTS = ("from", "groupBy", "having", "orderBy", "limit")
 
 
-def unit_matches(clauses: DataFrame) -> DataFrame:
-    """(query_id, type, label_total, pred_total, cnt) of the unit types, as multiset intersections."""
+def _entries(kinds: Sequence[str]) -> Column:
+    """What a row of the clause table counts for: array of (query_id, kind, pos, key)."""
+    own, cond = F.col("query_id"), _clause(*CONDITIONS)
     column = F.when(F.contains(F.col("unit_no_agg"), F.lit(".")), F.split_part("unit_no_agg", F.lit("."), F.lit(2))
                     ).otherwise(F.col("unit_no_agg"))
-    keyed = clauses.select("query_id", "side", F.inline(_kinds(
-        (_clause("select"), "select", F.col("unit")),
-        (_clause("select"), "select(no AGG)", F.col("unit_no_agg")),
-        (_clause("where"), "where", F.col("unit")),
-        (_clause("where"), "where(no OP)", F.col("unit_no_agg")),
-        (_clause("groupBy"), "group(no Having)", column),
-    )))
-    per_key = keyed.groupBy("query_id", "type", "key").agg(F.count_if(on_pred()).alias("p"), F.count_if(on_gold()).alias("g"))
-    return per_key.groupBy("query_id", "type").agg(
-        F.sum("g").alias("label_total"), F.sum("p").alias("pred_total"), F.sum(F.least("p", "g")).alias("cnt"))
-
-
-def list_matches(clauses: DataFrame) -> DataFrame:
-    """One row per query: which of its ordered lists agree, which clauses each side has, its connectors.
-
-    A row of the clause table counts for its list under (list, pos, key).
+    no_pos, pos = F.lit(None).cast("long"), F.col("pos").cast("long")
+    words = [
+        (own, _clause("where"), F.lit("where")), (own, _clause("groupBy"), F.lit("group")),
+        (own, _clause("having"), F.lit("having")), (own, _clause("orderBy"), F.lit("order")),
+        (own, _clause("orderBy"), F.col("op")), (own, _clause("limit"), F.lit("limit")),
+        (own, cond & (F.col("conn") == "or"), F.lit("or")), (own, cond & F.col("is_not"), F.lit("not")),
+        (own, cond & F.col("op").isin("in", "like"), F.col("op")),
+        # A set operation is a keyword of the query it hangs on.
+        (F.col("parent_id"), F.col("link").isin(*SET_OPS), F.col("link")),
+    ]
+    table = [
+        (own, _clause("select"), "select", no_pos, F.col("unit")),
+        (own, _clause("select"), "select(no AGG)", no_pos, F.col("unit_no_agg")),
+        (own, _clause("where"), "where", no_pos, F.col("unit")),
+        (own, _clause("where"), "where(no OP)", no_pos, F.col("unit_no_agg")),
+        (own, _clause("groupBy"), "group(no Having)", no_pos, column),
+        (own, _clause("where") & F.col("conn").isNotNull(), "connectors", no_pos, F.col("conn")),
+        (own, _clause("from"), "from", no_pos, F.col("unit")),
+        (own, _clause("groupBy"), "groupBy", pos, F.col("unit_no_agg")),
+        (own, _clause("having"), "having", pos, F.concat_ws("\u0001", "unit", "conn")),
+        (own, _clause("orderBy"), "orderBy", pos, F.col("unit")),
+        (own, _clause("limit"), "limit", no_pos, F.lit("")),
+        (own, F.lit(True), "query", no_pos, F.lit("")),
+        *[(qid, when & word.isNotNull(), "keywords", no_pos, word) for qid, when, word in words],
+    ]
+    return F.array_compact(F.array(*[
+        F.when(when, F.struct(qid.alias("query_id"), F.lit(kind).alias("kind"), at.alias("pos"), key.alias("key")))
+        for qid, when, kind, at, key in table if kind in kinds or kind == "query"]))
+
+
+def _counted(clauses: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(query_id, kind, pos, key, p, g): how often each key occurs on each side."""
+    return clauses.select("side", F.inline(_entries(kinds))).groupBy("query_id", "kind", "pos", "key").agg(
+        F.count_if(on_pred()).alias("p"), F.count_if(on_gold()).alias("g"))
+
+
+def compare_sides(clauses: DataFrame, kinds: Sequence[str] = (*BAGS, *WORDS, *LISTS)) -> DataFrame:
+    """One row per query with (gold, pred, match) of every kind: the whole comparison in one pass.
+
+    For bags ``match`` is the size of the multiset intersection, for sets of words the number of
+    common ones, and for lists 1 if both sides agree.
     """
-    having = F.concat_ws("\u0001", "unit", "conn")
-    keyed = clauses.select(
-        "query_id", "side", "clause", "pos", "conn",
-        F.when(_clause("groupBy"), F.col("unit_no_agg")).when(_clause("having"), having)
-        .when(_clause("from", "orderBy"), F.col("unit")).alias("key"),
-    ).withColumn("pos", F.when(_clause("from"), F.lit(None)).otherwise(F.col("pos")))
-    per_key = keyed.groupBy("query_id", "clause", "pos", "key").agg(
-        F.count_if(on_pred()).alias("p"), F.count_if(on_gold()).alias("g"),
-        *[F.count_if(side & (F.col("conn") == word)).alias(f"{word}_{s}")
-          for word in ("and", "or") for s, side in (("p", on_pred()), ("g", on_gold()))])
-
-    def of(clause: str, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(_clause(clause), value)), F.lit(0))
-
-    def equal(clause: str) -> Column:
-        return F.coalesce(F.bool_and(F.when(_clause(clause), F.col("p") == F.col("g"))), F.lit(True))
-
-    columns = []
-    for clause in ("from", "groupBy", "having", "orderBy", "limit"):
-        columns += [of(clause, F.col("p")).alias(f"{clause}_p"), of(clause, F.col("g")).alias(f"{clause}_g")]
-    columns += [equal(c).alias(f"{c}_equal") for c in ("from", "groupBy", "having", "orderBy")]
-    columns += [(of("where", F.col(f"{w}_{s}")) > 0).alias(f"{w}_{s}") for w in ("and", "or") for s in ("p", "g")]
-    return per_key.groupBy("query_id").agg(*columns)
+    columns = [F.bool_or((F.col("kind") == "query") & (F.col("g") > 0)).alias("has_gold")]
+
+    def total(kind: str, value: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).alias(f"{kind}|{name}")
+
+    for kind in kinds:
+        p, g = F.col("p"), F.col("g")
+        if kind in WORDS:
+            p, g = _int(p > 0), _int(g > 0)
+        columns += [total(kind, g, "gold"), total(kind, p, "pred")]
+        if kind in LISTS:
+            agree = F.coalesce(F.bool_and(F.when(F.col("kind") == kind, p == g)), F.lit(True))
+            columns.append(_int(agree).alias(f"{kind}|match"))
+        else:
+            columns.append(total(kind, F.least(p, g), "match"))
+    return _counted(clauses, kinds).groupBy("query_id").agg(*columns)
+
+
+def _at(kind: str, name: str) -> Column:
+    return F.col(f"`{kind}|{name}`")
 
 
 def _int(cond: Column) -> Column:
     return cond.cast("long")
 
 
-def having_match(lists: DataFrame) -> DataFrame:
+def bag_totals(kind: str) -> tuple[Column, Column, Column]:
+    """(label_total, pred_total, cnt) of a multiset or a set of words."""
+    return _at(kind, "gold"), _at(kind, "pred"), _at(kind, "match")
+
+
+def group_totals() -> tuple[Column, Column, Column]:
     """1 iff both sides group, by the same columns in the same order, with the same having."""
-    both = (F.col("groupBy_p") > 0) & (F.col("groupBy_g") > 0)
-    return lists.select("query_id", F.lit("group").alias("type"), _int(F.col("groupBy_g") > 0).alias("label_total"),
-                        _int(F.col("groupBy_p") > 0).alias("pred_total"),
-                        _int(both & F.col("groupBy_equal") & F.col("having_equal")).alias("cnt"))
+    gold, pred = _at("groupBy", "gold") > 0, _at("groupBy", "pred") > 0
+    same = (_at("groupBy", "match") == 1) & (_at("having", "match") == 1)
+    return _int(gold), _int(pred), _int(gold & pred & same)
 
 
-def order_match(lists: DataFrame) -> DataFrame:
+def order_totals() -> tuple[Column, Column, Column]:
     """1 iff the order lists agree and both sides or neither have a limit, whatever its value."""
-    parity = (F.col("limit_p") > 0) == (F.col("limit_g") > 0)
-    return lists.select("query_id", F.lit("order").alias("type"), _int(F.col("orderBy_g") > 0).alias("label_total"),
-                        _int(F.col("orderBy_p") > 0).alias("pred_total"),
-                        _int((F.col("orderBy_g") > 0) & F.col("orderBy_equal") & parity).alias("cnt"))
+    gold, pred = _at("orderBy", "gold") > 0, _at("orderBy", "pred") > 0
+    parity = (_at("limit", "gold") > 0) == (_at("limit", "pred") > 0)
+    return _int(gold), _int(pred), _int(gold & (_at("orderBy", "match") == 1) & parity)
 
 
-def and_or_match(lists: DataFrame) -> DataFrame:
+def and_or_totals() -> tuple[Column, Column, Column]:
     """1 iff the sets of connectors agree; otherwise the totals are the set sizes, sides swapped as published."""
-    same = (F.col("and_p") == F.col("and_g")) & (F.col("or_p") == F.col("or_g"))
-    pred = _int(F.col("and_p")) + _int(F.col("or_p"))
-    gold = _int(F.col("and_g")) + _int(F.col("or_g"))
+    gold, pred, common = bag_totals("connectors")
+    same = (gold == common) & (pred == common)
     one = F.lit(1).cast("long")
-    return lists.select("query_id", F.lit("and/or").alias("type"), F.when(same, one).otherwise(pred).alias("label_total"),
-                        F.when(same, one).otherwise(gold).alias("pred_total"), _int(same).alias("cnt"))
+    return F.when(same, one).otherwise(pred), F.when(same, one).otherwise(gold), _int(same)
 
 
-def keyword_rows(clauses: DataFrame) -> DataFrame:
-    """(query_id, side, keyword); a set operation is a keyword of the query it hangs on."""
-    cond = _clause(*CONDITIONS)
-    own = F.col("query_id")
-    entries = [
-        (own, _clause("where"), F.lit("where")), (own, _clause("groupBy"), F.lit("group")),
-        (own, _clause("having"), F.lit("having")), (own, _clause("orderBy"), F.lit("order")),
-        (own, _clause("orderBy"), F.col("op")), (own, _clause("limit"), F.lit("limit")),
-        (own, cond & (F.col("conn") == "or"), F.lit("or")), (own, cond & F.col("is_not"), F.lit("not")),
-        (own, cond & F.col("op").isin("in", "like"), F.col("op")),
-        (F.col("parent_id"), F.col("link").isin(*SET_OPS), F.col("link")),
-    ]
-    found = F.array_compact(F.array(*[
-        F.when(cond & word.isNotNull(), F.struct(qid.alias("query_id"), word.alias("keyword")))
-        for qid, cond, word in entries]))
-    return clauses.select("side", F.inline(found))
+def _long(sides: DataFrame, totals: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(query_id, type, label_total, pred_total, cnt) from the wide comparison."""
+    rows = F.array(*[F.struct(F.lit(kind).alias("type"), label.cast("long").alias("label_total"),
+                              pred.cast("long").alias("pred_total"), cnt.cast("long").alias("cnt"))
+                     for kind, (label, pred, cnt) in totals.items()])
+    return sides.select("query_id", F.inline(rows))
+
+
+def unit_matches(clauses: DataFrame, kinds: Sequence[str] = BAGS) -> DataFrame:
+    """(query_id, type, label_total, pred_total, cnt) of the unit types that a query has."""
+    found = _long(compare_sides(clauses, kinds), {k: bag_totals(k) for k in kinds})
+    return found.filter((F.col("label_total") > 0) | (F.col("pred_total") > 0))
+
+
+def having_match(clauses: DataFrame) -> DataFrame:
+    return _long(compare_sides(clauses, ("groupBy", "having")), {"group": group_totals()})
+
+
+def order_match(clauses: DataFrame) -> DataFrame:
+    return _long(compare_sides(clauses, ("orderBy", "limit")), {"order": order_totals()})
+
+
+def and_or_match(clauses: DataFrame) -> DataFrame:
+    return _long(compare_sides(clauses, ("connectors",)), {"and/or": and_or_totals()})
 
 
 def keyword_match(clauses: DataFrame) -> DataFrame:
-    """Sizes of both keyword sets and of their intersection."""
-    per_word = keyword_rows(clauses).groupBy("query_id", "keyword").agg(
-        F.bool_or(on_pred()).alias("p"), F.bool_or(on_gold()).alias("g"))
-    return per_word.groupBy("query_id").agg(F.count_if("g").alias("label_total"), F.count_if("p").alias("pred_total"),
-                                            F.count_if(F.col("p") & F.col("g")).alias("cnt")).select(
-        "query_id", F.lit("keywords").alias("type"), "label_total", "pred_total", "cnt")
+    """Sizes of both keyword sets and of their intersection, for the queries with keywords."""
+    found = _long(compare_sides(clauses, ("keywords",)), {"keywords": bag_totals("keywords")})
+    return found.filter((F.col("label_total") > 0) | (F.col("pred_total") > 0))
+
+
+def keyword_counts(clauses: DataFrame) -> DataFrame:
+    """(keyword, n_pred, n_gold): in how many queries of each side a keyword occurs."""
+    return _counted(clauses, ("keywords",)).filter(F.col("kind") == "keywords").groupBy(
+        F.col("key").alias("keyword")).agg(F.count_if(F.col("p") > 0).alias("n_pred"),
+                                           F.count_if(F.col("g") > 0).alias("n_gold"))
 
 
 def nested_queries(clauses: DataFrame) -> DataFrame:
@@ -170,17 +208,6 @@ def score(pred_total: Column, label_total: Column, cnt: Column) -> Column:
     return _int((pred_total == label_total) & (cnt == pred_total))
 
 
-def _flat_matches(clauses: DataFrame, lists: DataFrame) -> DataFrame:
-    """All types but the set operations, with a row for every (query, type)."""
-    types = [t for t in PARTIAL_TYPES if t != "IUEN"]
-    every = query_list(clauses).select("query_id", F.explode(F.array(*[F.lit(t) for t in types])).alias("type"))
-    zeros = every.select("query_id", "type", *[F.lit(0).cast("long").alias(c) for c in
-                                               ("label_total", "pred_total", "cnt")])
-    found = (unit_matches(clauses).unionByName(having_match(lists)).unionByName(order_match(lists))
-             .unionByName(and_or_match(lists)).unionByName(keyword_match(clauses)).unionByName(zeros))
-    return found.groupBy("query_id", "type").agg(*[F.sum(c).alias(c) for c in ("label_total", "pred_total", "cnt")])
-
-
 def set_op_matches(children: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, type, totals, cnt): set-operation sub-queries present on each side and exactly matched."""
     graded = children.filter(F.col("link").isin(*SET_OPS)).join(exact.select("query_id", "exact"), "query_id")
@@ -197,15 +224,18 @@ def grade(clauses: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame
     A query's own clauses are counted once. Then the verdict of sub-queries is carried up, one
     level per round, until nothing changes: as many rounds as the deepest nesting.
     """
-    lists = materialize(list_matches(clauses), "lists")
-    flat = materialize(_flat_matches(clauses, lists), "flat")
+    sides = materialize(compare_sides(clauses), "sides")
+    totals = {k: bag_totals(k) for k in BAGS} | {
+        "group": group_totals(), "order": order_totals(), "and/or": and_or_totals(), "keywords": bag_totals("keywords")}
     children = materialize(nested_queries(clauses), "children")
-    hit = score(F.col("pred_total"), F.col("label_total"), F.col("cnt"))
-    own = flat.groupBy("query_id").agg(F.min(hit).alias("own"))
-    tables = lists.select("query_id", ((F.col("from_g") == 0) | F.col("from_equal")).alias("tables"))
-    own = materialize(own.join(tables, "query_id").select(
-        "query_id", _int((F.col("own") == 1) & F.col("tables")).alias("own")), "own")
+    own_score = F.lit(1).cast("long")
+    for label, pred, cnt in totals.values():
+        own_score = own_score * score(pred, label, cnt)
+    tables = (_at("from", "gold") == 0) | (_at("from", "match") == 1)
+    own = sides.select("query_id", (own_score * _int(tables)).alias("own"))
 
+    flat = _long(sides, totals)
+    hit = score(F.col("pred_total"), F.col("label_total"), F.col("cnt"))
     exact = own.select("query_id", F.col("own").alias("exact"))
     sets, before = None, None
     for _ in range(max_depth):
@@ -217,6 +247,8 @@ def grade(clauses: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame
         if state == before or not state[0]:
             break
         before = state
+    else:
+        raise RuntimeError(f"sub-queries nested more than {max_depth} levels deep")
     none = own.join(sets, "query_id", "left_anti").select(
         "query_id", F.lit("IUEN").alias("type"), *[F.lit(0).cast("long").alias(c) for c in
                                                    ("label_total", "pred_total", "cnt")])
