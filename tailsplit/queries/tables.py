@@ -30,7 +30,7 @@ def stripped(col: str) -> str:
 @query("src_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def src_csv(spark, sf):
     path = new_path(spark, "csv")
-    table(spark, sf, "documents").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    writers.delimited(table(spark, sf, "documents").write, header=True).csv(path)
     return readers.read_csv(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
@@ -38,7 +38,7 @@ def src_csv(spark, sf):
 def src_tsv(spark, sf):
     path = new_path(spark, "tsv")
     rows = sql_rows(spark, sf).select("query", "parse")
-    rows.write.option("sep", "\t").option("escape", '"').option("quoteAll", True).csv(f"{path}/train.tsv")
+    writers.delimited(rows.write, sep="\t").csv(f"{path}/train.tsv")
     return readers.read_query_table(spark, path, "train")
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
+def delimited(writer: DataFrameWriter, sep: str = ",", header: bool = False) -> DataFrameWriter:
+    """Every field quoted and kept with its white space; a missing value becomes an empty field."""
+    return (writer.option("sep", sep).option("header", header).option("escape", '"').option("quoteAll", True)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Scores keyed by ``row_id``."""
     scores.write.mode("overwrite").parquet(path)
@@ -13,15 +19,13 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 def write_split_csv(rows: DataFrame, path: str, split: str = "split") -> None:
     """A folder per split with headered CSV files."""
-    (rows.write.mode("overwrite").partitionBy(split).option("header", True).option("escape", '"')
-     .option("quoteAll", True).csv(path))
+    delimited(rows.write.mode("overwrite").partitionBy(split), header=True).csv(path)
 
 
 def write_split_tsv(rows: DataFrame, path: str, columns: tuple[str, ...] = ("query", "parse"),
                     split: str = "split") -> None:
     """A folder per split with headerless tab-separated files."""
-    (rows.select(*columns, split).write.mode("overwrite").partitionBy(split).option("sep", "\t")
-     .option("escape", '"').option("quoteAll", True).csv(path))
+    delimited(rows.select(*columns, split).write.mode("overwrite").partitionBy(split), sep="\t").csv(path)
 
 
 def write_manifest(rows: DataFrame, path: str, split: str = "split", row_id: str = "row_id") -> None:
