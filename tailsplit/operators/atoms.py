@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tailsplit.functions.text import tokens
 from tailsplit.operators.joins import lookup
 from tailsplit.operators.ranking import first_in_group, key_order, rank_rows
-from tailsplit.scratch import materialize
+from tailsplit.scratch import materialize, row_count
 
 Extractor = Callable[[Column], Column]
 
@@ -73,7 +73,7 @@ def balance_atoms(rows: DataFrame, atoms: DataFrame, key: str = "key") -> tuple[
     held = materialize(holders(ranked, atoms).select("atom", "rank", "picked"), "holders")
     missing = materialize(missing_atoms(held), "missing")
     move_in = materialize(missing.select("rank").distinct(), "move_in")
-    n_in = move_in.count()
+    n_in = row_count(move_in)
 
     kept = held.filter("picked").select("atom", "rank").unionByName(
         held.filter(~F.col("picked")).select("atom", "rank").join(move_in, "rank", "left_semi").select("atom", "rank"))
@@ -83,6 +83,6 @@ def balance_atoms(rows: DataFrame, atoms: DataFrame, key: str = "key") -> tuple[
     moved = move_in.unionByName(move_out).withColumn("_moved", F.lit(True))
     balanced = ranked.join(moved, "rank", "left").withColumn(
         "picked", F.col("picked") != F.coalesce("_moved", F.lit(False))).drop("_moved")
-    n_out = move_out.count()
-    report = {"missing_atoms": missing.count(), "moved_in": n_in, "moved_out": n_out, "grown_by": n_in - n_out}
+    n_out = row_count(move_out)
+    report = {"missing_atoms": row_count(missing), "moved_in": n_in, "moved_out": n_out, "grown_by": n_in - n_out}
     return balanced.select(*rows.columns, "rank"), report

@@ -54,37 +54,46 @@ LISTS = ("from", "groupBy", "having", "orderBy", "limit")
 
 def _entries(kinds: Sequence[str]) -> Column:
     """What a row of the clause table counts for: array of (query_id, kind, pos, key)."""
-    own, cond = F.col("query_id"), _clause(*CONDITIONS)
     column = F.when(F.contains(F.col("unit_no_agg"), F.lit(".")), F.split_part("unit_no_agg", F.lit("."), F.lit(2))
                     ).otherwise(F.col("unit_no_agg"))
-    no_pos, pos = F.lit(None).cast("long"), F.col("pos").cast("long")
-    words = [
-        (own, _clause("where"), F.lit("where")), (own, _clause("groupBy"), F.lit("group")),
-        (own, _clause("having"), F.lit("having")), (own, _clause("orderBy"), F.lit("order")),
-        (own, _clause("orderBy"), F.col("op")), (own, _clause("limit"), F.lit("limit")),
-        (own, cond & (F.col("conn") == "or"), F.lit("or")), (own, cond & F.col("is_not"), F.lit("not")),
-        (own, cond & F.col("op").isin("in", "like"), F.col("op")),
-        # A set operation is a keyword of the query it hangs on.
-        (F.col("parent_id"), F.col("link").isin(*SET_OPS), F.col("link")),
-    ]
-    table = [
-        (own, _clause("select"), "select", no_pos, F.col("unit")),
-        (own, _clause("select"), "select(no AGG)", no_pos, F.col("unit_no_agg")),
-        (own, _clause("where"), "where", no_pos, F.col("unit")),
-        (own, _clause("where"), "where(no OP)", no_pos, F.col("unit_no_agg")),
-        (own, _clause("groupBy"), "group(no Having)", no_pos, column),
-        (own, _clause("where") & F.col("conn").isNotNull(), "connectors", no_pos, F.col("conn")),
-        (own, _clause("from"), "from", no_pos, F.col("unit")),
-        (own, _clause("groupBy"), "groupBy", pos, F.col("unit_no_agg")),
-        (own, _clause("having"), "having", pos, F.concat_ws("\u0001", "unit", "conn")),
-        (own, _clause("orderBy"), "orderBy", pos, F.col("unit")),
-        (own, _clause("limit"), "limit", no_pos, F.lit("")),
-        (own, F.lit(True), "query", no_pos, F.lit("")),
-        *[(qid, when & word.isNotNull(), "keywords", no_pos, word) for qid, when, word in words],
-    ]
-    return F.array_compact(F.array(*[
-        F.when(when, F.struct(qid.alias("query_id"), F.lit(kind).alias("kind"), at.alias("pos"), key.alias("key")))
-        for qid, when, kind, at, key in table if kind in kinds or kind == "query"]))
+
+    def entry(kind: str, key: Column, ordered: bool = False, query_id: str = "query_id",
+              when: Column | None = None) -> Column | None:
+        if kind not in kinds and kind != "query":
+            return None
+        pos = F.col("pos").cast("long") if ordered else F.lit(None).cast("long")
+        made = F.struct(F.col(query_id).alias("query_id"), F.lit(kind).alias("kind"), pos.alias("pos"), key.alias("key"))
+        return made if when is None else F.when(when, made)
+
+    def word(key: Column, **more) -> Column | None:
+        return entry("keywords", key, **more)
+
+    condition = [word(F.lit("or"), when=F.col("conn") == "or"), word(F.lit("not"), when=F.col("is_not")),
+                 word(F.col("op"), when=F.col("op").isin("in", "like"))]
+    by_clause = {
+        "select": [entry("select", F.col("unit")), entry("select(no AGG)", F.col("unit_no_agg"))],
+        "from": [entry("from", F.col("unit"))],
+        "on": condition,
+        "where": [entry("where", F.col("unit")), entry("where(no OP)", F.col("unit_no_agg")),
+                  entry("connectors", F.col("conn"), when=F.col("conn").isNotNull()), word(F.lit("where")), *condition],
+        "groupBy": [entry("group(no Having)", column), entry("groupBy", F.col("unit_no_agg"), ordered=True),
+                    word(F.lit("group"))],
+        "having": [entry("having", F.concat_ws("\u0001", "unit", "conn"), ordered=True), word(F.lit("having")),
+                   *condition],
+        "orderBy": [entry("orderBy", F.col("unit"), ordered=True), word(F.lit("order")),
+                    word(F.col("op"), when=F.col("op").isNotNull())],
+        "limit": [entry("limit", F.lit("")), word(F.lit("limit"))],
+    }
+    # Every row tells that its query exists, and a set operation is a keyword of the query it hangs on.
+    always = [entry("query", F.lit("")), word(F.col("link"), query_id="parent_id", when=F.col("link").isin(*SET_OPS))]
+
+    def listed(entries: list) -> Column:
+        return F.array_compact(F.array(*[e for e in [*entries, *always] if e is not None]))
+
+    out = listed([])
+    for clause, entries in by_clause.items():
+        out = F.when(_clause(clause), listed(entries)).otherwise(out)
+    return out
 
 
 def _counted(clauses: DataFrame, kinds: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tailsplit.scratch import size_of
+
 # A whole table up to this size is broadcast; of a larger one, at most HEAD_ROWS hot keys are.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -15,21 +17,14 @@ SPREAD = 4096
 
 
 def fits_broadcast(dim: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
-    """True if ``dim`` was counted and found small enough to ship to every executor.
-
-    ``dim`` should be a written table, so that the count is a cheap scan.
-    """
-    rows = BROADCAST_ROWS if rows is None else rows
-    size = BROADCAST_BYTES if size is None else size
-    width = F.lit(0).cast("long")
-    for name, kind in dim.dtypes:
-        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8))
-    n, total = dim.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return n <= rows and total <= size
+    """True if ``dim`` was measured and found small enough to ship to every executor."""
+    n, total = size_of(dim)
+    return n <= (BROADCAST_ROWS if rows is None else rows) and total <= (BROADCAST_BYTES if size is None else size)
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], freq: str | None = None,
-           spread_by: Sequence[str] = (), rows: int | None = None, head_rows: int | None = None) -> DataFrame:
+           spread_by: Sequence[str] = (), rows: int | None = None, head_rows: int | None = None,
+           measured: DataFrame | None = None) -> DataFrame:
     """Left join of ``df`` to ``dim`` (unique on ``on``) that no hot key can stall.
 
     * ``dim`` small after counting it: broadcast.
@@ -39,10 +34,12 @@ def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], freq: str | None =
       answered by the broadcast, and rows with a null key, get a spread-out key of their own there, so they match
       nothing and gather nowhere; the salt is a hash of ``spread_by``, hence repeatable.
     * ``dim`` larger without ``freq``: plain join, left to adaptive execution.
+
+    ``measured`` is the written table ``dim`` was derived from row by row, if it was.
     """
     on = list(on)
     head_rows = HEAD_ROWS if head_rows is None else head_rows
-    if fits_broadcast(dim, rows):
+    if fits_broadcast(dim if measured is None else measured, rows):
         return df.join(F.broadcast(dim), on, "left")
     if freq is None:
         return df.join(dim, on, "left")

@@ -81,6 +81,7 @@ def fit_bigram(df: DataFrame, text: str = "text", add_k: float = ADD_K, weight:
     counted = materialize(counted, "pairs")
     unigram = _unigram(counted.groupBy("token").agg(F.sum("n_pair").alias("n")), add_k)
     pairs = counted.filter(F.col("ctx").isNotNull())
+    pairs.observed_size = counted.observed_size
     contexts = materialize(pairs.groupBy("ctx").agg(F.sum("n_pair").alias("n_ctx")), "contexts")
     return Bigram(unigram, pairs, contexts, weight)
 
@@ -103,7 +104,8 @@ def unigram_table(model: Unigram) -> DataFrame:
 def with_unigram_lp(occurrences: DataFrame, model: Unigram, spread_by: list[str]) -> DataFrame:
     """Add ``lp`` to (…, token) rows."""
     unseen = nano_log(model.probability(F.lit(0)))
-    joined = lookup(occurrences, unigram_table(model), ["token"], freq="n", spread_by=spread_by).drop("n")
+    joined = lookup(occurrences, unigram_table(model), ["token"], freq="n", spread_by=spread_by,
+                    measured=model.counts).drop("n")
     return joined.withColumn("lp", F.when(F.col("token").isNotNull(), F.coalesce("lp", unseen)))
 
 

@@ -36,11 +36,15 @@ def _earlier(by: Sequence[str]):
 
 
 def _attach(placed: DataFrame, runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    # Without groups there is one run per partition; with groups the runs are written and measured.
+    small = True
+    if by:
+        runs = materialize(runs, "runs")
+        small = fits_broadcast(runs)
     right = runs
     for c in [*by, "_part"]:
         right = right.withColumnRenamed(c, f"_r_{c}")
-    # Without groups there is one row per partition; with groups the size is looked at.
-    right = F.broadcast(right) if not by or fits_broadcast(right) else right
+    right = F.broadcast(right) if small else right
     cond = placed["_part"] == right["_r__part"]
     for c in by:
         cond = cond & same(placed[c], right[f"_r_{c}"])
@@ -58,7 +62,7 @@ def rank_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), na
     runs = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     runs = runs.select(*by, "_part", (F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0))
                                       - F.col("_first") + 1).alias("_shift"))
-    ranked = _attach(placed, materialize(runs, "runs") if by else runs, by)
+    ranked = _attach(placed, runs, by)
     return ranked.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
@@ -71,7 +75,7 @@ def running_total(df: DataFrame, value: str, order: Sequence[Column], by: Sequen
     runs = runs.select(*by, "_part", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)).alias("_base"))
     # Inside one range partition a window is safe: it holds one partition's rows.
     inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    attached = _attach(placed, materialize(runs, "runs") if by else runs, by)
+    attached = _attach(placed, runs, by)
     return attached.select(*df.columns,
                            (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(name))
 

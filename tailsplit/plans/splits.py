@@ -14,7 +14,7 @@ from tailsplit.operators.joins import lookup
 from tailsplit.operators.ranking import first_in_group, key_order, rank_rows, seeded_order
 from tailsplit.operators.targets import (assign_buckets, bucket_counts, bucket_targets, class_targets,
                                          length_histogram, quantile_buckets, unique_length_buckets)
-from tailsplit.scratch import materialize
+from tailsplit.scratch import materialize, row_count
 from tailsplit.sources.readers import origin_id
 
 UNIQUE_LENGTHS = "unique"
@@ -43,7 +43,7 @@ def dropped(rows: DataFrame, label: str) -> DataFrame:
 
 def split_classes(rows: DataFrame, label: str, test: int, dev: int, seed: int = 42, key: str = "key") -> DataFrame:
     """The least likely rows of every class become dev and test, the others train."""
-    targets = class_targets(rows, label, key, test, dev)
+    targets = materialize(class_targets(rows, label, key, test, dev), "targets")
     ranked = rank_rows(rows.filter(F.col(label).isNotNull()), key_order(key), [label], "rank")
     sided = lookup(ranked, targets, [label])
     is_eval = F.col("rank") > F.col("class_rows") - F.col("test_target") - F.col("dev_target")
@@ -143,7 +143,7 @@ def halve_rest(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Rows not picked for train are shuffled; the first half (rounded down) is dev, the rest test."""
     rest = rank_rows(rows.filter(~F.col("picked")).withColumn("_mix", seeded_order(seed)),
                      [F.col("_mix"), F.col("row_id")], name="_turn")
-    n_dev = rest.count() // 2
+    n_dev = row_count(rest) // 2
     rest = rest.withColumn("split", F.when(F.col("_turn") <= n_dev, "dev").otherwise("test"))
     train = rows.filter("picked").withColumn("split", F.lit("train"))
     return train.unionByName(rest.select(train.columns))
@@ -154,7 +154,7 @@ def percent_split(rows: DataFrame, percent: float = 5, row_id: str = "row_id") -
 
     ``row_id`` must be a consecutive position counted from zero (see ``with_row_id``).
     """
-    cut = int(rows.count() * percent / 100 + 0.5)
+    cut = int(row_count(rows) * percent / 100 + 0.5)
     return rows.withColumn("split", F.when(F.col(row_id) < cut, "validation").otherwise("train"))
 
 

@@ -16,12 +16,13 @@ from tailsplit.operators.compare import multiset_match, result_set_match
 from tailsplit.queries.fixtures import table, with_
 from tailsplit.queries.registry import query
 from tailsplit.scratch import materialize
+from tailsplit.sources.readers import spread
 
 BY_LINE = ("select", "from", "where", "groupBy", "having", "orderBy", "limit")
 
 
 def clauses(spark, sf) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey")
     clause = F.element_at(F.array(*[F.lit(c) for c in BY_LINE]), F.col("l_linenumber"))
     col_id = F.concat(F.lit("__t"), (F.col("l_suppkey") % 3).cast("string"), F.lit(".c"),
                       (F.col("l_suppkey") % 5).cast("string"), F.lit("__"))
@@ -45,14 +46,16 @@ def clauses(spark, sf) -> DataFrame:
             .when(F.col("clause").isin("where", "having"),
                   F.concat_ws(" ", F.col("is_not").cast("string"), "op", "col_id"))
             .otherwise(F.concat_ws(" ", "flag", "op", "col_id")))
-    gold = rows.withColumns({"unit": unit, "unit_no_agg": F.col("col_id"), "side": F.lit("gold"),
-                             "parent_id": F.when(found, F.col("parent_id")), "link": F.when(found, F.col("link"))})
-    pred = gold.filter(F.col("l_tax") != 0.08).withColumns({
-        "side": F.lit("pred"),
-        "unit": F.when(F.col("l_discount") == 0.1, F.concat(F.lit("X"), F.col("unit"))).otherwise(F.col("unit"))})
+    # One scan serves both sides.
+    sides = rows.withColumns({
+        "unit": unit, "unit_no_agg": F.col("col_id"), "parent_id": F.when(found, F.col("parent_id")),
+        "link": F.when(found, F.col("link")), "side": F.explode(F.array(F.lit("gold"), F.lit("pred")))})
+    changed = (F.col("side") == "pred") & (F.col("l_discount") == 0.1)
+    sides = sides.filter((F.col("side") == "gold") | (F.col("l_tax") != 0.08)).withColumn(
+        "unit", F.when(changed, F.concat(F.lit("X"), F.col("unit"))).otherwise(F.col("unit")))
     keep = ["query_id", "side", "clause", "pos", "unit", "unit_no_agg", "has_agg", "is_not", "op", "conn", "parent_id",
             "link", "db_id", "col_id", "value", "is_subquery"]
-    return gold.select(keep).unionByName(pred.select(keep))
+    return sides.select(keep)
 
 
 CL = """

@@ -10,7 +10,7 @@ from tailsplit.operators import lm, ranking, targets
 from tailsplit.plans import splits
 from tailsplit.queries.fixtures import D, DL, SEED, docs, labelled, text_scores, tok, with_
 from tailsplit.queries.registry import query
-from tailsplit.scratch import materialize
+from tailsplit.scratch import materialize, row_count
 
 K_BUCKETS = 4
 
@@ -40,7 +40,7 @@ def pool(spark, sf, kind="ll"):
 
 
 def tenth(base: DataFrame) -> int:
-    return base.count() // 10
+    return row_count(base) // 10
 
 
 # --- SQL ---------------------------------------------------------------------------------
@@ -346,7 +346,7 @@ def sort_outputs(spark, sf):
 
 
 @query("rebalance_split", bucket_split_sql("quantile") + """
-       SELECT label, count_if(side) AS before_rows, count_if(picked) AS after_rows, count_if(side <> picked) AS moved_rows
+       SELECT label, count_if(side)::BIGINT AS before_rows, count_if(picked)::BIGINT AS after_rows, count_if(side <> picked)::BIGINT AS moved_rows
        FROM sided GROUP BY label""")
 def rebalance_split(spark, sf):
     base = classes(spark, sf)
@@ -361,7 +361,7 @@ def rebalance_split(spark, sf):
 # --- fixed-size train --------------------------------------------------------------------
 
 def four_fifths(base: DataFrame) -> int:
-    return base.count() * 8 // 10
+    return row_count(base) * 8 // 10
 
 
 @query("split_fixed_train", fixed_sql(None) + REST + "SELECT row_id, length, ll_score, split FROM final")

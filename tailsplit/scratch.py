@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -37,8 +38,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def row_width(df: DataFrame) -> Column:
+    """Rough size of a row in bytes."""
+    width = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            width = width + F.greatest(F.size(F.col(f"`{name}`")), F.lit(0)) * 16
+        else:
+            width = width + F.lit(16 if kind.startswith("struct") else 8)
+    return width
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as parquet and return it read back with the same columns."""
+    """Write ``df`` once as parquet and return it read back with the same columns.
+
+    Rows and bytes are observed while the table is written, so that asking for its size later
+    costs no further job.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_width(df)), F.lit(0)).alias("bytes")
+               ).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.observed_size = (seen.get["rows"], seen.get["bytes"])
+    return out
+
+
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a table: as observed when it was written, else counted."""
+    known = getattr(df, "observed_size", None)
+    return known or tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_width(df)), F.lit(0))).first())
+
+
+def row_count(df: DataFrame) -> int:
+    known = getattr(df, "observed_size", None)
+    return known[0] if known else df.count()
