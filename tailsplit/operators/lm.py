@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailsplit.functions.text import split_last_word, tokens
+from tailsplit.operators import joins
 from tailsplit.operators.joins import lookup
 from tailsplit.operators.ranking import first_in_group
 from tailsplit.scratch import materialize
@@ -119,24 +120,44 @@ def with_bigram_lp(occurrences: DataFrame, model: Bigram, spread_by: list[str])
 
 
 def row_scores(scored: DataFrame, row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(row_id, keep…, n_tokens, ll_score, ppl_score) from scored occurrences.
+    """(row_id, keep…, n_tokens, ll_score, ppl_score) from scored occurrences."""
+    return _scores(scored.groupBy(row_id, *keep).agg(
+        F.count("lp").alias("n_tokens"), F.coalesce(F.sum("lp"), F.lit(0)).alias("s")), row_id, keep)
 
-    An empty text has likelihood 0 and no perplexity.
-    """
-    nll = scored.groupBy(row_id, *keep).agg(F.count("lp").alias("n_tokens"),
-                                            F.coalesce(F.sum("lp"), F.lit(0)).alias("s"))
-    return nll.select(row_id, *keep, "n_tokens", micro(F.col("s")).alias("ll_score"),
-                      F.round(F.exp(-F.try_divide(F.col("s") / F.lit(NANO), F.col("n_tokens"))), 6).alias("ppl_score"))
+
+def _scores(sums: DataFrame, row_id: str, keep: Sequence[str]) -> DataFrame:
+    """Scores from sums of billionths; an empty text has likelihood 0 and no perplexity."""
+    return sums.select(row_id, *keep, "n_tokens", micro(F.col("s")).alias("ll_score"),
+                       F.round(F.exp(-F.try_divide(F.col("s") / F.lit(NANO), F.col("n_tokens"))), 6).alias("ppl_score"))
 
 
 def score_text(df: DataFrame, model: Unigram, text: str = "text", row_id: str = "row_id",
                keep: Sequence[str] = ()) -> DataFrame:
     """Unconditional log-likelihood and perplexity per row, with the narrow columns ``keep``.
 
-    Within a task all known tokens of a row fold into one partial sum before the shuffle.
+    A vocabulary that can be broadcast folds all tokens of a row into one partial sum before the
+    shuffle. Of a larger one the frequent tokens still do, and only the rare ones are shuffled,
+    once per row and token, to meet their counts.
     """
     occurrences = df.select(row_id, *keep, F.explode_outer(tokens(text)).alias("token"))
-    return row_scores(with_unigram_lp(occurrences, model, [row_id]), row_id, keep)
+    if joins.fits_broadcast(model.counts):
+        return row_scores(with_unigram_lp(occurrences, model, [row_id]), row_id, keep)
+
+    table, unseen = unigram_table(model), nano_log(model.probability(F.lit(0)))
+    frequent = F.col("n") * F.lit(joins.HEAD_ROWS) >= F.lit(model.total)
+    head = table.filter(frequent).select("token", "lp")
+    rare = F.when(F.col("lp").isNull(), F.col("token")).alias("token")
+    folded = occurrences.join(F.broadcast(head), "token", "left").groupBy(row_id, *keep, rare).agg(
+        F.count(occurrences["token"]).alias("m"), F.sum("lp").alias("known"))
+    # The folded rows, one per text, have no token left and get a key of their own.
+    salt = F.pmod(F.xxhash64(row_id), F.lit(joins.SPREAD)).cast("int") + 1
+    folded = folded.withColumn("_slot", F.when(F.col("token").isNull(), salt).otherwise(F.lit(0)))
+    tail = table.filter(~frequent).select("token", "lp", F.lit(0).alias("_slot"))
+    part = F.when(F.col("token").isNull(), F.coalesce("known", F.lit(0))).otherwise(
+        F.col("m") * F.coalesce("lp", unseen))
+    sums = folded.join(tail, ["token", "_slot"], "left").withColumn("part", part).groupBy(row_id, *keep).agg(
+        F.sum("m").alias("n_tokens"), F.sum("part").alias("s"))
+    return _scores(sums, row_id, keep)
 
 
 def with_context(toks: Column, before: Column) -> Column:
