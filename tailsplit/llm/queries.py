@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, packing
+from tailsplit.llm import bpe, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +37,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe.round_trip_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents by fingerprints that differ in at most 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"), words=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
