@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, packing, simhash
+from tailsplit.llm import bpe, packing, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,22 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """All documents by fingerprints that differ in at most 4 bits."""
     found = simhash.near_duplicates(table(spark, sf, "documents"), words=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_substring(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without windows of 20 words that also start earlier."""
+    found = substring.remove_repeats(table(spark, sf, "documents"), 20)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op5_substring"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, len(w)::BIGINT AS n_words, w, unnest(range(1, len(w) - 18)) AS s FROM words),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS span FROM starts),
+judged AS (SELECT doc_id, s, row_number() OVER (PARTITION BY span ORDER BY doc_id, s) > 1 AS again FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM judged WHERE again),
+lists AS (SELECT doc_id, list(i) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(removed), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(removed, []), i)), ' ')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id)"""
