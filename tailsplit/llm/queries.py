@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, packing, simhash, substring
+from tailsplit.llm import bpe, packing, simhash, substring, topk, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,42 @@ lists AS (SELECT doc_id, list(i) AS removed FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(removed), 0)::BIGINT AS n_removed,
        sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(removed, []), i)), ' ')) AS kept_sha256
 FROM words LEFT JOIN lists USING (doc_id)"""
+
+
+@query
+def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 best of all vectors for every hundredth one."""
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
+SQL["op7_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+terms AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+           FROM terms q JOIN terms c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+                  vec_id, score FROM scores)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op10_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors against those of their label, cosine 0.93."""
+    return vectors.near_duplicates(table(spark, sf, "embeddings"), limit=0.93)
+
+
+SQL["op10_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.w, b.w) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(degree.n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least ON least.a = e.vec_id LEFT JOIN degree ON degree.a = e.vec_id"""
