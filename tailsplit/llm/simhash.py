@@ -23,7 +23,7 @@ from tailsplit.llm.forest import Groups
 from tailsplit.llm.textblock import text_blocks
 from tailsplit.scratch import materialize, row_count
 
-SHARD_ROWS = 20_000
+SHARD_ROWS = 65_536
 SAMPLE_ROWS = 16_384  # vantage points and radii come from so many fingerprints at most
 LEAF = 512
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
         return pd.DataFrame({"u": names[item], "v": names[root]})
 
     dealt = nodes.mapInArrow(deal, "fp long, node long, shard int, home boolean")
-    edges = dealt.groupBy("shard").applyInPandas(search, "u long, v long")
+    edges = materialize(dealt.groupBy("shard").applyInPandas(search, "u long, v long"), "forest")
     groups = connected_components(edges)
     named = nodes.join(groups, "node", "left").select(
         F.col("fp").alias("p"), F.coalesce("component", "node").alias("component_id"))
