@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, packing, simhash, substring, topk, vectors
+from tailsplit.llm import bpe, packing, simhash, substring, topk, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,13 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(degree.n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
        coalesce(component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN least ON least.a = e.vec_id LEFT JOIN degree ON degree.a = e.vec_id"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """The toxicity of all documents, learnt from the labelled ones that are not held out."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model, columns=["doc_id"]).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
