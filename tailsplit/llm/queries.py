@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, packing, simhash, substring, topk, toxicity, vectors
+from tailsplit.llm import bpe, html_text, packing, simhash, substring, topk, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,9 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model, columns=["doc_id"]).select(
         "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op2_html(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
