@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, html_text, packing, simhash, substring, topk, toxicity, vectors
+from tailsplit.llm import bpe, html_text, langid, packing, simhash, substring, topk, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,21 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op2_html(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of all pages."""
     return html_text.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and documents with the evidence of their language; a document's source stands for its host."""
+    pages = table(spark, sf, "pages").withColumns(
+        {"lang": langid.declared_in(F.col("html")), "source": langid.host_of(F.col("url"))})
+    pages = html_text.extract(pages).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "lang", "source")
+    documents = table(spark, sf, "documents").select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", "source")
+    return documents.unionByName(pages)
+
+
+@query
+def op1_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of all pages and documents."""
+    found = langid.identify(crawl(spark, sf))
+    return found.select("doc_id", "page_id", F.col("source").alias("host"), F.col("lang").alias("declared"), "language",
+                        F.round("posterior", 6).alias("posterior"), "accepted")
