@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, html_text, langid, packing, simhash, substring, topk, toxicity, vectors
+from tailsplit.llm import bpe, html_text, langid, packing, simhash, substring, topk, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,48 @@ def op1_langid(spark: SparkSession, sf: str) -> DataFrame:
     found = langid.identify(crawl(spark, sf))
     return found.select("doc_id", "page_id", F.col("source").alias("host"), F.col("lang").alias("declared"), "language",
                         F.round("posterior", 6).alias("posterior"), "accepted")
+
+
+ARCHIVE_PAGES = 4096
+
+
+def replicas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All pages as records of archives, and a replica in which records are lost, cut short or altered by their address.
+
+    One archive holds the pages of 4096 consecutive ids. Pages without an id are dealt out by their hash to archives of
+    their own. Rows that repeat an id, address and text are one record.
+    """
+    record = warc.record_of(F.col("url"), F.col("html"))
+    fate = F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % 100
+    harmed = F.when(fate == 1, F.substring(record, 1, 100)).when(fate == 2, F.concat(record, F.lit(" "))).otherwise(record)
+    rows = table(spark, sf, "pages").select(
+        F.col("page_id").cast("long").alias("page_id"), F.octet_length(record).cast("long").alias("length"),
+        warc.record_hash(record).alias("digest"), warc.record_hash(F.when(fate != 0, harmed)).alias("copy")).distinct()
+    own = F.concat(F.lit("x"), F.pmod(F.crc32(F.col("digest").cast("binary")), F.lit(4096)).cast("string"))
+    named = rows.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / ARCHIVE_PAGES).cast("string"), own))
+    laid = warc.materialize(warc.lay_out(named, "archive", ["page_id", "digest"], "length"), "records")
+    return laid.drop("copy"), laid.where(F.col("copy").isNotNull()).select("archive", "offset", F.col("copy").alias("digest"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of all pages that differ between two replicas, found from the roots down."""
+    original, replica = replicas(spark, sf)
+    found = warc.audit(original, replica)
+    return original.join(found, ["archive", "offset"]).select(
+        "page_id", "archive", "offset", "length", "kind", "left_hash", "right_hash")
+
+
+SQL["op4_warc"] = r"""
+WITH raw AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+records AS (SELECT DISTINCT page_id, url, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10)
+  || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM raw),
+laid AS (SELECT page_id, url, record, strlen(record)::BIGINT AS length, sha256(record) AS digest,
+                (page_id // 4096)::VARCHAR AS archive FROM records),
+placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM laid),
+fates AS (SELECT *, ('0x' || md5(url)[1:4])::INT % 100 AS fate FROM placed)
+SELECT page_id, archive, "offset", length, CASE fate WHEN 0 THEN 'missing' ELSE 'changed' END AS kind, digest AS left_hash,
+       CASE fate WHEN 1 THEN sha256(record[1:100]) WHEN 2 THEN sha256(record || ' ') END AS right_hash
+FROM fates WHERE fate < 3"""
