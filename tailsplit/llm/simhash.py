@@ -48,18 +48,21 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): the fingerprint of each whole text as a signed long."""
-    source = docs.select(docs[key].alias("k"), docs[text].alias("t"))
-    schema = T.StructType([T.StructField("k", source.schema["k"].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, text: str = "text", key: str = "doc_id",
+                 carry: list[str] | None = None) -> DataFrame:
+    """(key, the columns to carry, fp): the fingerprint of each whole text as a signed long."""
+    names = [key, *(carry or [])]
+    source = docs.select(*[docs[c] for c in names], docs[text].alias("__text"))
+    schema = T.StructType([*source.drop("__text").schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_blocks(batch.column("t")):
+            for first, texts in text_blocks(batch.column("__text")):
                 found = np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)
-                yield pa.record_batch([batch.column("k").slice(first, len(texts)), pa.array(found)], ["k", "fp"])
+                kept = [batch.column(c).slice(first, len(texts)) for c in names]
+                yield pa.record_batch([*kept, pa.array(found)], schema.names)
 
-    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return source.mapInArrow(run, schema)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -140,15 +143,16 @@ def link_shard(prints: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.nda
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, text: str = "text",
-                    key: str = "doc_id") -> DataFrame:
+                    key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """The fingerprint and the group of every document.
 
-    One row a document, repeated rows included: ``key`` (a whole number), ``fp`` (signed long) and ``component_id``,
+    One row a document, repeated rows included: ``key`` (a whole number), the columns to ``carry``, ``fp`` (signed
+    long) and ``component_id``,
     the smallest key that links of at most ``bits`` differing bits reach. Equal fingerprints are linked, also those of
     texts that are null, empty or without words (0). A row with a null key links nothing; it gets the component of its
     fingerprint, null if no row with a key has it. Other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, words, seed, text, key).withColumn(key, F.col(key).cast("long")), "prints")
+    prints = materialize(fingerprints(docs, words, seed, text, key, carry).withColumn(key, F.col(key).cast("long")), "prints")
     nodes = materialize(prints.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("node")), "nodes")
     n = row_count(nodes)
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD_ROWS)))))
@@ -173,4 +177,4 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
     groups = connected_components(edges)
     named = nodes.join(groups, "node", "left").select(
         F.col("fp").alias("p"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, prints.fp == named.p, "left").select(key, "fp", "component_id")
+    return prints.join(named, prints.fp == named.p, "left").select(key, *(carry or []), "fp", "component_id")

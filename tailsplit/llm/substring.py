@@ -88,10 +88,11 @@ def runs_of(words: Words, length: int):
     return first, count, seeds[anchor].view(np.int64), mix(extent ^ mix(place + BASE)).view(np.int64)
 
 
-def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+def _keyed(docs: DataFrame, text: str, key: str, carry: list[str] | None = None) -> DataFrame:
     """(k, tie, t): rows that share a key and a text are one document; of one key, the text's checksum decides."""
     return docs.select(docs[key].cast("long").alias("k"),
-                       F.crc32(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("tie"), docs[text].alias("t"))
+                       F.crc32(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("tie"), docs[text].alias("t"),
+                       *[docs[c].alias(f"c_{c}") for c in carry or []])
 
 
 def _runs(keyed: DataFrame, length: int) -> DataFrame:
@@ -230,7 +231,8 @@ def covered(words: Words, length: int, runs: np.ndarray, doc: np.ndarray) -> np.
     return np.cumsum(steps)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", key: str = "doc_id",
+                   carry: list[str] | None = None) -> DataFrame:
     """Takes out of every whole text each word of a window of ``length`` words that also starts earlier.
 
     Earlier: in a document of smaller key, or in the same one. Words are separated by blanks and the control characters
@@ -240,10 +242,11 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", key: s
 
     A null or empty text has no words. A null key comes before all others. Rows that repeat key and text are one
     document and get the same result each; of different texts with one key, the one with the smaller CRC-32 comes
-    first. ``key`` must be a whole number. Other columns are ignored.
+    first. ``key`` must be a whole number. The columns to ``carry`` come after, others are ignored.
     """
-    keyed = _keyed(docs, text, key)
-    joined = _with_lists(keyed, repeated_windows(docs, length, text, key), "left").select("k", "t", "ats")
+    keyed = _keyed(docs, text, key, carry)
+    carried = [f"c_{c}" for c in carry or []]
+    joined = _with_lists(keyed, repeated_windows(docs, length, text, key), "left").select("k", "t", "ats", *carried)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,12 +280,14 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", key: s
                 yield pa.record_batch(
                     [batch.column("k").slice(row, len(texts)), pa.array(words.counts), pa.array(removed),
                      pa.array(digests, pa.string()), pa.array(kept, pa.string()),
-                     pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
-                    ["k", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+                     pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                     *[batch.column(c).slice(row, len(texts)) for c in carried]],
+                    ["k", "n_words", "n_removed", "kept_sha256", "kept", "spans", *carried])
 
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     out = joined.mapInArrow(finish, T.StructType([
         T.StructField("k", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
-        T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(span))]))
-    return out.withColumnRenamed("k", key)
+        T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(span)),
+        *[joined.schema[c] for c in carried]]))
+    return out.withColumnsRenamed({"k": key, **{f"c_{c}": c for c in carry or []}})
