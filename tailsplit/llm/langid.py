@@ -85,8 +85,10 @@ def fit_text(rows: DataFrame, languages: list[str], text: str) -> np.ndarray:
 
 
 def text_evidence(rows: DataFrame, model: np.ndarray, text: str) -> DataFrame:
-    """All columns with ``__ll`` (tempered log likelihood of each language) and ``__grams``."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("__ll", T.ArrayType(T.DoubleType())),
+    """All columns with ``__ll`` (tempered log likelihood of each language), ``__p`` (its probability by the text alone,
+    null without letters) and ``__grams``."""
+    values = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*rows.schema.fields, T.StructField("__ll", values), T.StructField("__p", values),
                            T.StructField("__grams", T.LongType())])
     at = rows.columns.index(text)
 
@@ -96,19 +98,56 @@ def text_evidence(rows: DataFrame, model: np.ndarray, text: str) -> DataFrame:
             for _, texts in text_blocks(batch.column(at)):
                 bucket, own = trigrams(texts)
                 sums = np.stack([np.bincount(own, line[bucket], len(texts)) for line in model], 1) * TEMPER
-                found.extend(sums - sums.max(1, keepdims=True))
+                found.append(sums - sums.max(1, keepdims=True))
                 grams.append(np.bincount(own, minlength=len(texts)))
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.float64())),
-                                   pa.array(np.concatenate(grams) if grams else [], pa.int64())], schema.names)
+            logs = np.concatenate(found) if found else np.empty((0, len(model)))
+            count = np.concatenate(grams).astype(np.int64) if grams else np.empty(0, np.int64)
+            yield pa.record_batch([*batch.columns, _lists(logs), _lists(softmax(logs), count == 0), pa.array(count)],
+                                  schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def softmax(logs: Column) -> Column:
-    """Probabilities from logarithms of which the largest is not far from 0."""
-    top = F.array_max(logs)
-    raw = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+def _lists(rows: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()),
+                                    mask=None if missing is None else pa.array(missing))
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """The lists as rows of k numbers; a null list is all 0."""
+    out = np.zeros((len(column), k))
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out
+
+
+def softmax(logs: np.ndarray) -> np.ndarray:
+    raw = np.exp(logs - logs.max(1, keepdims=True))
+    return raw / raw.sum(1, keepdims=True)
+
+
+def fuse(told: DataFrame, columns: list[str], languages: list[str], base_rate: np.ndarray) -> DataFrame:
+    """The columns with the most probable language by all evidence, its posterior, and whether it is accepted."""
+    k, names = len(languages), np.array(languages, object)
+    source = told.select(*[F.col(f"`{c}`") for c in columns], "__ll", "__p", "__grams", "n", "up", "ls", "ld")
+    schema = T.StructType([*[source.schema[c] for c in columns], T.StructField("language", T.StringType()),
+                           T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs, own, n, up, ls, ld = (_matrix(batch.column(c), k) for c in ("__ll", "__p", "n", "up", "ls", "ld"))
+            up[up.sum(1) == 0] = base_rate
+            others = np.maximum(n - own * (n.sum(1, keepdims=True) > 0), 0.0)
+            prior = (others + KAPPA * up) / (others.sum(1, keepdims=True) + KAPPA)
+            post = softmax(logs + np.log(prior) + ls + ld) if len(logs) else logs
+            best = post.argmax(1)
+            value = post[np.arange(len(post)), best]
+            lettered = batch.column("__grams").to_numpy() > 0
+            yield pa.record_batch([*batch.columns[:len(columns)], pa.array(names[best], pa.string()), pa.array(value),
+                                   pa.array(lettered & (value >= ACCEPT))], schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def _sums(cells: DataFrame, key: str, k: int) -> DataFrame:
@@ -155,8 +194,7 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "lang", host:
                             F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
     seen = text_evidence(base, fit_text(base, languages, text), text)
 
-    own = softmax(F.col("__ll"))
-    narrow = seen.select("__declared", "__suffix", "__domain", "__host", F.when(F.col("__grams") > 0, own).alias("p"))
+    narrow = seen.select("__declared", "__suffix", "__domain", "__host", F.col("__p").alias("p"))
     cells = materialize(narrow.where("p is not null").groupBy("__declared", "__suffix", "__domain", "__host").agg(
         *[F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(k)]), "cells")
     whole = [float(x or 0.0) for x in _sums(cells, "", k).first()]
@@ -178,17 +216,4 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "lang", host:
     told = lookup(seen, hosts, ["__host"], freq="rows", spread_by=["__host", "__grams", text])
     told = told.join(F.broadcast(likelihoods("__declared", "ld")), "__declared", "left")
 
-    none = F.array(*[F.lit(0.0)] * k)
-    mine = F.when(F.col("__grams") > 0, own).otherwise(none)
-    others = F.zip_with(F.coalesce("n", none), F.when(F.col("n").isNotNull(), mine).otherwise(none),
-                        lambda n, p: F.greatest(n - p, F.lit(0.0)))
-    prior = _smooth(others, F.coalesce("up", base_rate))
-    logs = F.zip_with(F.col("__ll"), F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b)
-    logs = F.zip_with(logs, F.coalesce("ls", none), lambda a, b: a + b)
-    logs = F.zip_with(logs, F.coalesce("ld", none), lambda a, b: a + b)
-    judged = told.withColumn("__post", softmax(logs))
-    best = F.array_max("__post")
-    return judged.select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("__post", best).cast("int")).alias("language"),
-        best.alias("posterior"), ((F.col("__grams") > 0) & (best >= ACCEPT)).alias("accepted"))
+    return fuse(told, columns, languages, np.array([(n + 1.0) / (sum(whole) + k) for n in whole]))
