@@ -10,8 +10,8 @@ apart, so the number of meetings grows with the square of a label's blocks.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import comb, erf, sqrt
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,12 @@ from tailsplit.llm.topk import usable
 from tailsplit.scratch import materialize
 
 BLOCK_ROWS = 2048
-PROJECTIONS = 64
+PROJECTIONS, SWEPT = 64, 24
 WINDOW = 1.5  # half width of a window, in standard deviations of the projected difference of a pair at the limit
-MISSED = 1e-6  # probability to miss a pair at the limit
+MISSED = 1e-6  # probability to miss a pair at the limit by either of the two counts
 
 
+@lru_cache(maxsize=None)
 def calibrated_count(projections: int = PROJECTIONS, window: float = WINDOW, missed: float = MISSED) -> int:
     """The largest count of collisions that a pair at the limit fails to reach with probability ``missed`` at most."""
     p = erf(window / sqrt(2))
@@ -45,26 +46,43 @@ def directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
 
 
-def candidates(queries: np.ndarray, rows: np.ndarray, half: float, least: int):
-    """(query, row) pairs that collide in at least ``least`` of the projections (the columns)."""
-    counts = np.zeros((len(queries), len(rows)), np.uint8)
-    for m in range(queries.shape[1]):
-        order = np.argsort(rows[:, m], kind="stable")
-        line = rows[order, m]
-        begin = np.searchsorted(line, queries[:, m] - half, "left")
-        end = np.searchsorted(line, queries[:, m] + half, "right")
-        for q in np.flatnonzero(end > begin):
-            counts[q, order[begin[q]:end[q]]] += 1
-    return np.nonzero(counts >= least)
+class Lines:
+    """Sorted one-dimensional projections of a block."""
+
+    def __init__(self, rows: np.ndarray, axes: np.ndarray):
+        self.places = np.ascontiguousarray((rows @ axes).T)
+        self.order = self.places.argsort(1, kind="stable")
+        self.sorted = np.take_along_axis(self.places, self.order, 1)
+
+
+def candidates(asked: np.ndarray, lines: Lines, half: float):
+    """(query, row) pairs that collide in enough projections; ``asked`` has a row of places for each projection.
+
+    The first projections are swept in sorted order for all pairs, the others are looked up for those that pass.
+    """
+    counts = np.zeros((asked.shape[1], lines.places.shape[1]), np.uint8)
+    for m in range(SWEPT):
+        line, order = lines.sorted[m], lines.order[m]
+        begin = np.searchsorted(line, asked[m] - half, "left").tolist()
+        end = np.searchsorted(line, asked[m] + half, "right").tolist()
+        for q, (b, e) in enumerate(zip(begin, end)):
+            if e > b:
+                counts[q, order[b:e]] += 1
+    i, j = np.nonzero(counts >= calibrated_count(SWEPT))
+    total = counts[i, j].astype(np.int64)
+    for m in range(SWEPT, PROJECTIONS):
+        total += np.abs(asked[m][i] - lines.places[m][j]) <= half
+    passed = total >= calibrated_count()
+    return i[passed], j[passed]
 
 
 def link_blocks(left: np.ndarray, right: np.ndarray, same: bool, limit: float, seed: int):
     """(i, j) of linked unit vectors of two blocks; within one block every pair once."""
     half = WINDOW * sqrt(max(0.0, 2 - 2 * limit)) + 1e-9
     axes = directions(left.shape[1], PROJECTIONS, seed)
-    projected = right @ axes
+    lines = Lines(right, axes)
     for at in range(0, len(left), 256):
-        i, j = candidates(left[at:at + 256] @ axes, projected, half, calibrated_count())
+        i, j = candidates((left[at:at + 256] @ axes).T, lines, half)
         if same:
             i, j = i[i + at < j], j[i + at < j]
         true = np.concatenate([np.einsum("ij,ij->i", left[i[b:b + 65_536] + at], right[j[b:b + 65_536]]) >= limit
