@@ -45,7 +45,7 @@ def _entries(records: DataFrame, archive: str, offset: str, digest: str) -> Data
     """(archive, offset, node, hash): what stands at each offset; several records there give one hash in any order."""
     rows = records.select(F.coalesce(F.concat(F.lit("="), F.col(archive).cast("string")), F.lit("")).alias("archive"),
                           F.coalesce(F.col(offset).cast("long"), F.lit(-1)).alias("offset"),
-                          F.coalesce(F.col(digest), F.lit("")).alias("hash"))
+                          F.coalesce(F.col(digest), F.lit("none")).alias("hash"))
     lanes = [F.sum(F.coalesce(F.conv(F.substring("hash", at, 15), 16, 10), F.lit("0")).cast("decimal(38,0)")).cast("string")
              for at in LANES]
     at_once = F.sha2(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.min("hash"), F.max("hash"), *lanes), 256)
