@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 END = 0x110000  # follows each document in a block; no character has this number
 SPACE_CLASS, LETTER, NUMBER, OTHER, END_CLASS = range(5)
 BASE, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd, so that they have inverses mod 2**64

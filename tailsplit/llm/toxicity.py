@@ -298,9 +298,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     landmarks = choose_landmarks(list(toxic))
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    profiles = np.stack([_profile(x) for x in landmarks])
     clean: dict[bytes, int] = {}  # the worst words of the clean texts, gathered anew after each fit
-    weights, bias = profiles.max(0), 0.0  # the first value of a word is its likeness to the landmarks
+    weights, bias = np.zeros(SYMBOLS**3), 0.0  # the first value of a word is its likeness to the landmarks
+    for landmark in landmarks:
+        np.maximum(weights, _profile(landmark), out=weights)
     for _ in range(rounds):
         flags, words, _ = _witnesses(train, weights, bias)
         for own in (w for flag, w in zip(flags, words) if not flag):
@@ -310,7 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         times = [*toxic.values(), *clean.values()]
         u, bias = fit_machine(kernel([w for w, _ in items], landmarks) @ whiten,
                               np.array([flag for _, flag in items]), np.array(times, float))
-        weights = (whiten @ u) @ profiles
+        weights = np.zeros(SYMBOLS**3)
+        for share, landmark in zip(whiten @ u, landmarks):
+            weights += share * _profile(landmark)
     flags, _, top = _witnesses(train, weights, bias)
     return Model(weights, bias, fit_logistic(top, flags))
 
