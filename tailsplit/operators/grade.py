@@ -290,7 +290,7 @@ def hardness(clauses: DataFrame) -> DataFrame:
     level = (F.when((F.col("c1") <= 1) & (F.col("o") == 0) & flat, "easy")
              .when(flat & (((F.col("o") <= 2) & (F.col("c1") <= 1)) | ((F.col("c1") <= 2) & (F.col("o") < 2))), "medium")
              .when((flat & (F.col("o") > 2) & (F.col("c1") <= 2))
-                   | (flat & F.col("c1").between(3, 3) & (F.col("o") <= 2))
+                   | (flat & (F.col("c1") == 3) & (F.col("o") <= 2))
                    | ((F.col("c1") <= 1) & (F.col("o") == 0) & (F.col("c2") <= 1)), "hard")
              .otherwise("extra"))
     return staged.select("query_id", "c1", "c2", "o", level.alias("hardness"))

@@ -82,8 +82,8 @@ def join_scores(rows: DataFrame, scores: DataFrame, key: str = "row_id", check:
 
 
 def join_predictions(gold: DataFrame, predictions: DataFrame, key: str = "row_id") -> DataFrame:
-    """Pair every prediction with its reference; rows beyond the shorter side are left out."""
-    return gold.join(predictions, key, "inner")
+    """Every reference with its prediction; null, which no metric takes as right, where there is none."""
+    return gold.join(predictions, key, "left")
 
 
 def label_ids(labels: DataFrame, label: str) -> DataFrame:

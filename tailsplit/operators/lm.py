@@ -215,8 +215,12 @@ def score_summary(scores: DataFrame) -> DataFrame:
 
 
 def corpus_perplexity(scored: DataFrame) -> DataFrame:
-    """Perplexity of a whole corpus from its scored tokens; infinite where exp overflows."""
-    return scored.agg(F.count("lp").alias("n_tokens"), F.sum("lp").alias("s")).select(
+    """Perplexity of a whole corpus from its scored tokens; infinite where exp overflows.
+
+    The sum has 38 digits, since billionths of many tokens outgrow a long.
+    """
+    total = F.sum(F.col("lp").cast("decimal(38,0)")).cast("double")
+    return scored.agg(F.count("lp").alias("n_tokens"), total.alias("s")).select(
         "n_tokens",
         F.round(F.col("s") / F.lit(NANO) / F.col("n_tokens"), 6).alias("mean_ll"),
         F.round(safe_exp(-F.col("s") / F.lit(NANO) / F.col("n_tokens")), 6).alias("ppl"))

@@ -33,7 +33,9 @@ def exact_median(df: DataFrame, value: str) -> float | None:
 
 
 def accuracy(df: DataFrame, pred: str, label: str) -> DataFrame:
-    return df.agg(F.round(F.avg((F.col(pred) == F.col(label)).cast("double")), 6).alias("accuracy"))
+    """Share of the labelled rows whose prediction is right; a missing prediction is wrong."""
+    right = F.coalesce(F.col(pred) == F.col(label), F.lit(False))
+    return df.agg(F.round(F.avg(F.when(F.col(label).isNotNull(), right.cast("double"))), 6).alias("accuracy"))
 
 
 def argmax(values: Column) -> Column:

@@ -43,8 +43,8 @@ def read_query_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; keys outside the schema are dropped."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines; keys outside the schema are dropped, a malformed line fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_lines(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:

@@ -43,7 +43,8 @@ def write_predictions(rows: DataFrame, path: str, prediction: str, regression: b
                       row_id: str = "row_id") -> None:
     """Tab-separated ``index, prediction`` with a header."""
     (prediction_lines(rows, prediction, regression, row_id).write.mode("overwrite")
-     .option("sep", "\t").option("header", True).csv(path))
+     .option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_generated(rows: DataFrame, path: str, prediction: str) -> None:

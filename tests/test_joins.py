@@ -65,3 +65,12 @@ def test_label_ids(spark):
     dim = materialize(joins.label_ids(df.filter("label <> '-1'"), "label"), "dim")
     got = {r["label"]: r["label_id"] for r in joins.join_label_ids(df, "label", dim).collect()}
     assert got == {"a": 0, "b": 1, "-1": -1, None: None}
+
+
+def test_a_missing_prediction_is_wrong(spark):
+    from tailsplit.operators import metrics
+
+    gold = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, gold string")
+    both = joins.join_predictions(gold, spark.createDataFrame([(1, "a"), (3, "c")], "row_id long, pred string"))
+    assert both.count() == 2
+    assert metrics.accuracy(both, "pred", "gold").first().accuracy == 0.5

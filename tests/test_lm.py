@@ -167,3 +167,9 @@ def test_summary(spark):
 def test_perplexity_overflow(spark):
     row = spark.range(1).select(lm.safe_exp(F.lit(800.0)).alias("a"), lm.safe_exp(F.lit(1.0)).alias("b")).first()
     assert row["a"] == float("inf") and abs(row["b"] - math.e) < 1e-12
+
+
+def test_corpus_perplexity_outgrows_a_long(spark):
+    lp = -9_000_000_000_000_000_000
+    row = lm.corpus_perplexity(spark.createDataFrame([(lp,)] * 4, "lp long")).first()
+    assert (row.n_tokens, row.mean_ll) == (4, lp / 1e9)
