@@ -324,13 +324,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
     Whole texts are read, null as empty. Repeated rows are scored each.
     """
     names = columns or docs.columns
-    source = docs.select(*[docs[c] for c in names if c != "score"], docs[text].alias("__text"))
-    kept = [f for f in source.schema.fields if f.name != "__text"]
+    names = [c for c in names if c != "score"]
+    # The text travels once, also if it is among the columns.
+    source = docs.select(*[docs[c] for c in dict.fromkeys([*names, text])])
+    kept = [source.schema[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = BlockScorer(model.weights, model.bias)
         for batch in batches:
-            value = [scorer.worst(texts)[0] for _, texts in text_blocks(batch.column("__text"))]
+            value = [scorer.worst(texts)[0] for _, texts in text_blocks(batch.column(text))]
             value = model.probability(np.concatenate(value)) if value else np.empty(0)
             yield pa.record_batch([batch.column(f.name) for f in kept] + [pa.array(value)],
                                   [f.name for f in kept] + ["score"])
