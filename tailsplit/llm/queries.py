@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import bpe, html_text, langid, packing, simhash, substring, topk, toxicity, vectors, warc
+from tailsplit.llm import (bpe, html_text, langid, packing, sharding, simhash, substring, topk, toxicity, vectors,
+                           warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +182,32 @@ fates AS (SELECT *, ('0x' || md5(url)[1:4])::INT % 100 AS fate FROM placed)
 SELECT page_id, archive, "offset", length, CASE fate WHEN 0 THEN 'missing' ELSE 'changed' END AS kind, digest AS left_hash,
        CASE fate WHEN 1 THEN sha256(record[1:100]) WHEN 2 THEN sha256(record || ' ') END AS right_hash
 FROM fates WHERE fate < 3"""
+
+
+@query
+def op11_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in 16 shards that match the mixture of the sources."""
+    return sharding.shard(table(spark, sf, "documents"), shards=16)
+
+
+# crc32 in SQL: the table of its 256 steps by the polynomial, and a text's bytes folded over it.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS steps)"""
+
+
+def crc32_sql(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::BIGINT)"
+    fold = f"list_reduce({octets}, lambda c, y: xor(c // 256, steps[xor(c, y) % 256 + 1]), 4294967295::BIGINT)"
+    return f"xor({fold}, 4294967295::BIGINT)"
+
+
+SQL["op11_sharding"] = f"""
+WITH {CRC_TABLE},
+rows AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
+                coalesce('s' || source, 'none') AS stratum, md5('42:' || doc_id) AS turn FROM documents, crc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY turn, doc_id, text_crc32, size) AS rank,
+                  count(*) OVER (PARTITION BY stratum) AS total FROM rows),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * total)::DOUBLE, turn, doc_id, text_crc32, size,
+                  stratum) - 1 AS place, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 16 // n)::INT AS shard,
+       (place - (place * 16 // n * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM placed"""
