@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import (bpe, html_text, langid, packing, sharding, simhash, substring, topk, toxicity, vectors,
-                           warc)
+from tailsplit.llm import (bpe, html_text, langid, packing, sharding, simhash, spelling, substring, topk, toxicity,
+                           vectors, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,3 +211,34 @@ placed AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * t
                   stratum) - 1 AS place, count(*) OVER () AS n FROM ranked)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 16 // n)::INT AS shard,
        (place - (place * 16 // n * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM placed"""
+
+
+@query
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of the documents with the form that they vary."""
+    return spelling.variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SQL["op12_spelling"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS raw FROM documents),
+lowered AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM runs WHERE length(raw) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM lowered, crc),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT DISTINCT word, i, word[1:i - 1] || '_' || word[i + 1:] AS mask FROM places),
+shorter AS (SELECT DISTINCT word, word[1:i - 1] || word[i + 1:] AS short FROM places),
+near AS (SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.mask = b.mask AND a.i = b.i AND a.word <> b.word
+         UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.short
+         UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.short),
+ranked AS (SELECT near.word, other, n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                  row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS r FROM near JOIN words ON words.word = other),
+joined AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+                  CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+           FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+chain AS (SELECT word, word AS link FROM joined
+          UNION ALL SELECT chain.word, joined.form FROM chain JOIN joined ON joined.word = link WHERE joined.form IS NOT NULL),
+roots AS (SELECT chain.word, link AS root FROM chain JOIN joined ON joined.word = link WHERE joined.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM joined JOIN roots USING (word)"""
