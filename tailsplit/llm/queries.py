@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.llm import (bpe, html_text, langid, packing, sharding, simhash, spelling, substring, topk, toxicity,
-                           vectors, warc)
+from tailsplit.llm import (bpe, html_text, langid, packing, prefixes, sharding, simhash, spelling, substring, topk,
+                           toxicity, vectors, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,3 +242,41 @@ chain AS (SELECT word, word AS link FROM joined
           UNION ALL SELECT chain.word, joined.form FROM chain JOIN joined ON joined.word = link WHERE joined.form IS NOT NULL),
 roots AS (SELECT chain.word, link AS root FROM chain JOIN joined ON joined.word = link WHERE joined.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM joined JOIN roots USING (word)"""
+
+
+@query
+def op13_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefixes.prefix_trie(table(spark, sf, "conversations"))
+
+
+SQL["op13_prefixes"] = rf"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                   md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+          FROM conversations WHERE conv_id IS NOT NULL),
+numbers AS (SELECT DISTINCT conv_id FROM turns),
+convs AS (SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM numbers, crc),
+heads AS (SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100
+          WHERE t.place <= c.h),
+tails AS (SELECT c.conv_id, t.place - c.h + (SELECT count(*) FROM heads x WHERE x.conv_id = c.conv_id) AS place, t.role, t.text
+          FROM convs c JOIN turns t USING (conv_id) WHERE t.place > c.h),
+rebuilt AS (SELECT * FROM heads UNION ALL SELECT * FROM tails),
+lists AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY place) FILTER (place IS NOT NULL) AS turns
+          FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(turns, []) AS turns FROM lists),
+occ AS (SELECT conv_id, d AS depth, turns[1:d] AS path, d = len(turns) AS last,
+               CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END AS chars
+        FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+tops AS (SELECT *, min(conv_id) OVER (PARTITION BY path) AS top FROM occ),
+nodes AS (SELECT top, depth, min(chars) AS chars, count(*) AS n_convs,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM tops GROUP BY top, depth),
+ups AS (SELECT n.*, p.top AS up FROM nodes n LEFT JOIN tops p ON p.conv_id = n.top AND p.depth = n.depth - 1),
+kids AS (SELECT up AS top, depth - 1 AS depth, count(*) AS n FROM ups WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT ups.*, coalesce(kids.n, 0) AS n_children FROM ups LEFT JOIN kids USING (top, depth)),
+sums AS (SELECT a.top, a.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved
+         FROM full_nodes f JOIN tops a ON a.conv_id = f.top AND a.depth <= f.depth GROUP BY ALL)
+SELECT top AS conv_id, depth::BIGINT AS depth, up AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM full_nodes JOIN sums USING (top, depth)"""
