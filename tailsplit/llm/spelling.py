@@ -161,7 +161,7 @@ class Words:
     def __init__(self, words: list[bytes]):
         self.words = words
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(min(WIDTH, self.lengths.max(initial=0))) + 1
+        width = int(min(WIDTH, self.lengths.max(initial=1))) + 1
         self.letters = np.array([w[:width] for w in words], f"S{width}").view(np.uint8).reshape(len(words), width)
 
     def one_edit_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
