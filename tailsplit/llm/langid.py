@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tailsplit.llm.textblock import END_CLASS, LETTER, char_classes, code_points, documents_of, text_blocks
+from tailsplit.llm.textblock import (END_CLASS, LETTER, char_classes, code_points, documents_of, release_memory,
+                                     text_blocks)
 from tailsplit.operators.joins import lookup
 from tailsplit.scratch import materialize
 
@@ -25,6 +26,8 @@ TEMPER = 0.1  # trigrams depend on each other: their evidence counts by this pow
 KAPPA = 5.0  # rows' worth of the level above in a smoothed level
 ALPHA = 0.5  # added to each count of declared languages and suffixes
 ACCEPT = 0.5  # least posterior of an identified text
+LANGUAGES = 64  # so many declared codes are told apart by default
+OTHER_CODES = "other"  # the language of all other codes
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +67,16 @@ def fit_text(rows: DataFrame, languages: list[str], text: str) -> np.ndarray:
     place = {code: i for i, code in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}  # only for languages that the task meets
         for batch in batches:
             said = [place[x] for x in batch.column("__declared").to_pylist()]
             for row, texts in text_blocks(batch.column("__text")):
                 bucket, text = trigrams(texts)
-                own = np.array(said[row:row + len(texts)], np.int64)[text]
-                counts += np.bincount(own * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
-        for i, line in enumerate(counts):
+                met, own = np.unique(np.array(said[row:row + len(texts)], np.int64), return_inverse=True)
+                found = np.bincount(own[text] * BUCKETS + bucket, minlength=len(met) * BUCKETS).reshape(-1, BUCKETS)
+                for i, line in zip(met.tolist(), found):
+                    counts[i] = counts[i] + line if i in counts else line
+        for i, line in counts.items():
             there = np.flatnonzero(line)
             yield pa.record_batch([pa.array(np.full(len(there), i)), pa.array(there), pa.array(line[there])],
                                   ["l", "bucket", "n"])
@@ -93,6 +98,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray, text: str) -> DataFrame:
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             found, grams = [], []
             for _, texts in text_blocks(batch.column(at)):
@@ -172,8 +178,9 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "lang", host:
     """All columns of ``rows`` with ``language``, ``posterior`` and ``accepted``.
 
     ``declared`` names a column with a declared language and ``host`` one with a host name. A host with a dot has a
-    suffix (its last label) and a domain (the last two). ``languages`` are those to tell apart, by default all that are
-    declared. A row is accepted if its text has letters and the posterior of its language is at least ``ACCEPT``. A text
+    suffix (its last label) and a domain (the last two). ``languages`` are those to tell apart, by default the LANGUAGES
+    codes that most rows declare; if there are more, the rows with any other code make up one more language, called
+    OTHER_CODES. A row is accepted if its text has letters and the posterior of its language is at least ``ACCEPT``. A text
     that is null, empty or without letters is judged by the other evidence and not accepted; null or malformed
     declarations, suffixes and hosts say nothing. Repeated rows are judged each. Without any language the result columns
     are null and nothing is accepted. Columns that are called as the results are replaced.
@@ -187,7 +194,15 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "lang", host:
         "__suffix": F.element_at(labels, -1), "__domain": F.concat_ws(".", F.slice(labels, -2, 2))})
     base = base.withColumn("__domain", F.when(F.col("__domain") != "", F.col("__domain")))
     if languages is None:
-        languages = sorted(r[0] for r in base.select("__declared").distinct().collect() if r[0])
+        # Codes have two or three letters, so that there are 18,252 of them at most.
+        said = base.where("__declared is not null").groupBy("__declared").count().collect()
+        often = [r["__declared"] for r in sorted(said, key=lambda r: (-r["count"], r["__declared"]))]
+        languages = sorted(often[:LANGUAGES])
+        if len(often) > LANGUAGES:
+            common = F.col("__declared").isin(languages)
+            base = base.withColumn("__declared", F.when(common | F.col("__declared").isNull(), F.col("__declared"))
+                                   .otherwise(F.lit(OTHER_CODES)))
+            languages.append(OTHER_CODES)
     k = len(languages)
     if not k:
         return plain.select("*", F.lit(None).cast("string").alias("language"),
