@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tailsplit.llm.textblock import END, SpanHash, code_points, ragged, text_blocks
+from tailsplit.llm.textblock import END, SpanHash, code_points, ragged, release_memory, text_blocks
 from tailsplit.scratch import materialize
 
 TRAIN_ROWS = 20_000  # labelled texts used for fitting, at most
@@ -190,12 +190,16 @@ class BlockScorer:
 
 
 def _training(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, rows: int) -> DataFrame:
-    """(t, y): a bounded sample of the labelled texts that are not held out, by the hash of their key."""
+    """(t, y): a bounded sample of the labelled texts that are not held out, by the hash of their key.
+
+    Of rows that repeat a key the text with the smallest hash teaches, so that the bound holds for rows as well.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(
         (F.max(label) > 0).alias("y")).where(~held_out("k"))
     sample = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(rows))
     texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(sample, "k")
-    return materialize(texts.where(F.col("t").isNotNull()).select("t", "y"), "labelled")
+    once = texts.where(F.col("t").isNotNull()).groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    return materialize(once.select("t", "y"), "labelled")
 
 
 def held_out(key: str):
@@ -278,7 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         rows: int = TRAIN_ROWS, rounds: int = 3) -> Model:
     """Learns from at most ``rows`` labelled texts whose key's CRC-32 (as text) modulo 3 is not 1.
 
-    A label above 0 is toxic; of repeated labels the highest holds; null labels, keys and texts teach nothing. Without
+    A label above 0 is toxic; of repeated labels the highest holds, of repeated keys one text; null labels, keys and texts
+    teach nothing. The model itself is bounded: at most CANDIDATES words are looked at, LANDMARKS of them become landmarks,
+    and a text is judged by its WITNESSES worst words. Where no word reaches the gain GAIN, the ten best stand in. Without
     texts of both kinds the model gives every text the share of toxic labels, 0 without labels.
     """
     train = _training(docs, labels, text, key, label, rows)
@@ -330,6 +336,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
     kept = [source.schema[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         scorer = BlockScorer(model.weights, model.bias)
         for batch in batches:
             value = [scorer.worst(texts)[0] for _, texts in text_blocks(batch.column(text))]

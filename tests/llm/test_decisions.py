@@ -147,3 +147,22 @@ def test_repeats_at_one_offset_count(spark):
     schema = "archive string, offset long, digest string"
     one, two = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[1:], schema)
     assert [tuple(r)[:3] for r in warc.audit(one, two).collect()] == [("a", 0, "changed")]
+
+
+def test_any_number_of_declared_codes(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    codes = [a + b + c for a in letters for b in letters for c in letters][:2000]
+    rows = [(i, f"{cases.PROSE} {code}", code, f"{code}.example.com", 1) for i, code in enumerate(codes)]
+    rows += [(9000 + i, cases.FRENCH, "fr", "a.fr", 1) for i in range(5)] + [(9100 + i, cases.PROSE, "en", None, 1) for i in range(5)]
+    got = langid.identify(spark.createDataFrame(rows, cases.DOCUMENTS)).collect()
+    assert len(got) == len(rows)
+    assert all(r.language == "fr" for r in got if 9000 <= r.doc_id < 9005)
+    assert {r.language for r in got} <= {"fr", "en", langid.OTHER_CODES, *codes}
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(3, f"text {i}", "en", "s", 1) for i in range(3000)] + [(i, "a", "en", "s", 1) for i in range(4, 30)],
+                                 cases.DOCUMENTS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)] * 2, "doc_id long, quality int, toxic int")
+    assert toxicity._training(docs, labels, "text", "doc_id", "toxic", 3).count() <= 3
+    assert toxicity._training(docs, labels, "text", "doc_id", "toxic", 10_000).count() <= 27
