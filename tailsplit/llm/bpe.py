@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -121,7 +122,14 @@ def replay(pieces: list[bytes], pairs: dict[int, int], single: list[int]) -> Ite
 def rank_file(path: str) -> tuple[RankFile, PieceIds]:
     """Read once for each Python worker, with the pieces that it remembers."""
     ranks = RankFile(path)
-    return ranks, PieceIds(ranks.encode_pieces)
+
+    @lru_cache(maxsize=1)
+    def library():
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
+
+    return ranks, PieceIds(ranks.encode_pieces, lambda t: library().encode_ordinary(t))
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -129,7 +137,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
 
     ``docs`` needs the columns ``key`` and ``text``; other columns are ignored. One row a document, repeated rows
     included: ``key``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary). A null
-    or empty text has no ids and decodes to nothing; a null key stays null.
+    or empty text has no ids and decodes to nothing; a null key stays null. A text with a character younger than Python's
+    Unicode tables is encoded by the library itself, whose tables alone tell whether it is a letter.
     """
     return _encoded(docs, path, text, key, digest=False)
 

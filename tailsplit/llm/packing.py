@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tailsplit.llm.textblock import PieceIds, text_blocks
+from tailsplit.llm.textblock import PieceIds, release_memory, text_blocks
 from tailsplit.scratch import materialize, row_count
 
 LOT_PIECES = 40_000
@@ -83,7 +83,7 @@ def tokenizer(path: str):
         found = loaded.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    return loaded, added, PieceIds(encode)
+    return loaded, added, PieceIds(encode, lambda t: loaded.encode(t, add_special_tokens=False).ids)
 
 
 def token_pieces(docs: DataFrame, path: str, window: int, end_id: int | None, text: str, key: str) -> DataFrame:
@@ -96,6 +96,7 @@ def token_pieces(docs: DataFrame, path: str, window: int, end_id: int | None, te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        release_memory()
         loaded, added, ids_of = tokenizer(path)
         lot = TaskContext.get().partitionId() << 33
         last = np.array([] if end_id is None else [end_id], "<u4")

@@ -6,6 +6,8 @@ that nothing is ever cut. The helpers run inside tasks.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ import pyarrow as pa
 
 BLOCK_CHARS = 1 << 18
 END = 0x110000  # follows each document in a block; no character has this number
-SPACE_CLASS, LETTER, NUMBER, OTHER, END_CLASS = range(5)
+SPACE_CLASS, LETTER, NUMBER, OTHER, END_CLASS, YOUNG = range(6)
 BASE, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd, so that they have inverses mod 2**64
 
 # The characters of Unicode's White_Space property.
@@ -40,19 +42,32 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_CHARS) ->
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    """The class of each code point, as the pre-tokenising pattern tells them apart."""
+    """The class of each code point, as the pre-tokenising pattern tells them apart.
+
+    Code points that Python's Unicode tables do not know may be letters to a library with younger ones.
+    """
     classes = np.full(END + 1, OTHER, np.uint8)
     for code in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(code))[0]
-        if kind == "L":
+        kind = unicodedata.category(chr(code))
+        if kind == "Cn":
+            classes[code] = YOUNG
+        elif kind[0] == "L":
             classes[code] = LETTER
-        elif kind == "N":
+        elif kind[0] == "N":
             classes[code] = NUMBER
     classes[WHITE_SPACE] = SPACE_CLASS
     classes[END] = END_CLASS
     return classes
 
 
+def release_memory() -> None:
+    """Hands back what earlier tasks of this worker have freed; called where a task starts."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def code_points(texts: list[str]) -> np.ndarray:
     mark = END.to_bytes(4, "little")
     return np.frombuffer(mark.join(t.encode("utf-32-le", "surrogatepass") for t in texts) + mark, np.uint32)
@@ -109,7 +124,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         back = np.full(size, pow(int(base), -1, 1 << 64), np.uint64)
         back[0] = 1
         have = np.cumprod(step), np.cumprod(back)
-        if size <= 8 * BLOCK_CHARS:
+        if size <= 2 * BLOCK_CHARS:
             _powers[int(base)] = have
     return have[0][:n], have[1][:n]
 
@@ -145,7 +160,7 @@ def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         both["a"], both["b"] = first, second
         _, at, inverse = np.unique(both, return_index=True, return_inverse=True)
         keys = first[at]
-    return keys.tolist(), second[at].tolist(), at, inverse
+    return keys, second[at], at, inverse
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:
@@ -155,42 +170,90 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceIds:
-    """The ids of a block's pieces. A worker encodes a piece once, as long as it is among the last ``most`` or so."""
+    """The ids of a block's pieces. A worker encodes a piece once, as long as it remembers it.
 
-    def __init__(self, encode, most: int = 300_000):
-        self.encode, self.most = encode, most
-        self.known: dict[int, tuple[int, bytes]] = {}
-        self.older: dict[int, tuple[int, bytes]] = {}
+    What it remembers are arrays sorted by the first hash, with room for ``most`` pieces and ``most * 4`` ids: some
+    15 MB. When they are full, the pieces stay that were used since they were full the last time, if that is half of
+    them at most. Texts with characters that are not in Python's Unicode tables are left to ``whole``.
+    """
+
+    def __init__(self, encode, whole, most: int = 300_000):
+        self.encode, self.whole, self.most = encode, whole, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.length, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
+        self.ids = np.empty(0, np.uint32)
+
+    def recall(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it known, where) for each piece."""
+        if not len(self.first):
+            return np.zeros(len(first), bool), np.zeros(len(first), np.int64)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return (self.first[at] == first) & (self.second[at] == second), at
+
+    def remember(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds pieces that are not known, in order of ``first``."""
+        if len(self.first) + len(first) > self.most or len(self.ids) + len(ids) > 4 * self.most:
+            if 2 * self.used.sum() > len(self.used) or 2 * self.length[self.used].sum() > len(self.ids):
+                self.forget()
+            else:
+                kept = self.length[self.used]
+                self.ids = self.ids[np.repeat(self.begin[self.used], kept) + ragged(kept)]
+                self.first, self.second, self.length = (x[self.used] for x in (self.first, self.second, self.length))
+                self.begin = (np.cumsum(kept) - kept).astype(np.int32)
+                self.used = np.zeros(len(kept), bool)
+        if len(first) > self.most or len(ids) > 4 * self.most:
+            return
+        alone = np.ones(len(first), bool)  # of pieces that share the first hash none but the first is remembered
+        alone[1:] = first[1:] != first[:-1]
+        if len(self.first):
+            at = np.searchsorted(self.first, first)
+            alone &= self.first[np.minimum(at, len(self.first) - 1)] != first
+        begin = len(self.ids) + np.cumsum(lengths) - lengths
+        at = np.searchsorted(self.first, first[alone])
+        self.ids = np.concatenate([self.ids, ids])
+        self.first, self.second = np.insert(self.first, at, first[alone]), np.insert(self.second, at, second[alone])
+        self.begin, self.length = np.insert(self.begin, at, begin[alone]), np.insert(self.length, at, lengths[alone])
+        self.used = np.insert(self.used, at, True)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
         codes = code_points(texts)
+        young = np.flatnonzero(char_classes()[codes] == YOUNG)
+        if not len(young):
+            return self.of_known(texts, codes)
+        left = set(documents_of(codes, young).tolist())
+        rest = ["" if i in left else t for i, t in enumerate(texts)]
+        ids, counts = self.of_known(rest, code_points(rest))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in left:
+            parts[i] = np.asarray(self.whole(texts[i]), np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def of_known(self, texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = pretokens(codes)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        firsts, seconds, at, inverse = distinct_spans(codes, starts, ends)
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        packed, new = [], []
-        for i, (first, second) in enumerate(zip(firsts, seconds)):
-            found = self.known.get(first)
-            if found is None and (found := self.older.get(first)) is not None:
-                self.known[first] = found
-            if found is None or found[0] != second:
-                new.append(i)
-                packed.append(b"")
-            else:
-                packed.append(found[1])
-        if new:
+        first, second, at, inverse = distinct_spans(codes, starts, ends)
+        known, where = self.recall(first, second)
+        lengths = np.zeros(len(first), np.int64)
+        lengths[known] = self.length[where[known]]
+        begins = np.zeros(len(first), np.int64)
+        begins[known] = self.begin[where[known]]
+        self.used[where[known]] = True
+        source = self.ids
+        if not known.all():
             text = "\x00".join(texts) + "\x00"  # one character for each code of the block
-            where = at[new]
-            words = [text[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())]
-            for i, ids in zip(new, self.encode(words)):
-                packed[i] = ids
-                self.known[firsts[i]] = seconds[i], ids
-        lengths = np.fromiter((len(x) >> 2 for x in packed), np.int64, len(packed))
-        flat = np.frombuffer(b"".join(packed), np.uint32)
-        begins = np.cumsum(lengths) - lengths
+            new = at[~known]
+            packed = self.encode([text[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+            sizes = np.fromiter((len(x) >> 2 for x in packed), np.int64, len(packed))
+            fresh = np.frombuffer(b"".join(packed), np.uint32)
+            lengths[~known] = sizes
+            begins[~known] = len(source) + np.cumsum(sizes) - sizes
+            source = np.concatenate([source, fresh])
+            self.remember(first[~known], second[~known], fresh, sizes)
         counts = lengths[inverse]
-        ids = flat[np.repeat(begins[inverse], counts) + ragged(counts)]
+        ids = source[np.repeat(begins[inverse], counts) + ragged(counts)]
         return ids, np.bincount(documents_of(codes, starts), counts, len(texts)).astype(np.int64)

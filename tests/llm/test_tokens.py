@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tailsplit.llm import bpe, packing
+from tailsplit.llm import bpe, packing, textblock
 from tests.llm import cases
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -91,3 +91,37 @@ def test_best_fit_takes_the_tightest_window():
 def test_empty_tables(spark):
     assert packing.pack(cases.none_at_all(spark), VOCABULARY).count() == 0
     assert bpe.round_trip_digests(cases.none_at_all(spark), RANKS).count() == 0
+
+
+# Letters and digits that are younger than the Unicode tables of Python 3.13, and some code points that are none yet.
+YOUNG = ["\u0558", "\u088f", "\u0c5c", "\U00010ee7", "\U00016ea7", "\U0001cce1", "\U00011de1", "\U000323b0", "\U0003347a", "\uffff"]
+
+
+def test_young_characters(spark):
+    texts = [f"a{c}b 12{c}3 {c}{c} 'll{c}\n{c} ." for c in YOUNG] + ["old text", f"old {YOUNG[3]}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    known = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.decoded.decode()) for r in bpe.round_trip(rows, RANKS).collect()}
+    assert got == {i: (known.encode_ordinary(t), t) for i, t in enumerate(texts)}
+    other = Tokenizer.from_file(VOCABULARY)
+    want = [(i, other.encode(t, add_special_tokens=False).ids + [0]) for i, t in enumerate(texts)]
+    check_packing(packing.pack(rows, VOCABULARY, 1024, 0).collect(), want, 1024)
+
+
+def test_pieces_are_remembered_within_bounds():
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [np.frombuffer(p.encode("utf-32-le"), "<u4").tobytes() for p in pieces]
+
+    rng = random.Random(9)
+    ids_of = textblock.PieceIds(encode, None, most=40)
+    for _ in range(60):
+        texts = [" ".join(f"w{int(rng.expovariate(0.08))}" for _ in range(rng.randint(0, 12))) for _ in range(3)]
+        ids, counts = ids_of(texts)
+        assert "".join(map(chr, ids)) == "".join(texts) and counts.tolist() == [len(t) for t in texts]
+        assert len(ids_of.first) <= 40 and len(ids_of.ids) <= 160
+    assert len(asked) > len(set(asked)) and len(set(asked)) > 40
