@@ -226,7 +226,7 @@ def set_op_matches(children: DataFrame, exact: DataFrame) -> DataFrame:
         F.count_if(both).alias("cnt")).select("query_id", F.lit("IUEN").alias("type"), "label_total", "pred_total", "cnt")
 
 
-def grade(clauses: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame]:
+def grade(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(partial, exact) tables of every query, sub-queries included.
 
     partial: (query_id, type, label_total, pred_total, cnt, score); exact: (query_id, exact).
@@ -247,7 +247,7 @@ def grade(clauses: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame
     hit = score(F.col("pred_total"), F.col("label_total"), F.col("cnt"))
     exact = own.select("query_id", F.col("own").alias("exact"))
     sets, before = None, None
-    for _ in range(max_depth):
+    while True:  # a verdict only ever falls, so that nothing changes in the end
         sets = materialize(set_op_matches(children, exact), "sets")
         state = tuple(sets.agg(F.count(F.lit(1)), F.sum("cnt")).first())
         verdict = sets.select("query_id", hit.alias("nested"))
@@ -256,8 +256,6 @@ def grade(clauses: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame
         if state == before or not state[0]:
             break
         before = state
-    else:
-        raise RuntimeError(f"sub-queries nested more than {max_depth} levels deep")
     none = own.join(sets, "query_id", "left_anti").select(
         "query_id", F.lit("IUEN").alias("type"), *[F.lit(0).cast("long").alias(c) for c in
                                                    ("label_total", "pred_total", "cnt")])
@@ -265,22 +263,32 @@ def grade(clauses: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame
     return partial, exact
 
 
-def hardness(clauses: DataFrame) -> DataFrame:
-    """(query_id, hardness) of the gold side from its component counts."""
+def hardness(clauses: DataFrame, nested: DataFrame | None = None) -> DataFrame:
+    """(query_id, hardness) of the gold side from its component counts.
+
+    ``nested`` gives (query_id, n_nested) where sub-queries have no rows of their own; otherwise they are counted here,
+    those in a table list left out. A column ``n_agg`` says how many aggregates a unit has, if it may have several.
+    """
     def n(cond: Column) -> Column:
         return F.count_if(F.coalesce(cond, F.lit(False)))
 
     cond = _clause(*CONDITIONS)
+    listed = _clause("select", "groupBy", "orderBy")
+    aggregates = n(listed & F.col("has_agg"))
+    if "n_agg" in clauses.columns:
+        aggregates = F.coalesce(F.sum(F.when(listed, F.col("n_agg"))), F.lit(0))
     counts = clauses.filter(on_gold()).groupBy("query_id").agg(
         n(_clause("where")).alias("n_where"), n(_clause("groupBy")).alias("n_group"),
         n(_clause("orderBy")).alias("n_order"), n(_clause("limit")).alias("n_limit"),
         n(_clause("from")).alias("n_from"), n(_clause("select")).alias("n_select"),
         n(cond & (F.col("conn") == "or")).alias("n_or"), n(cond & (F.col("op") == "like")).alias("n_like"),
         # Flags stand for aggregates: the negation flag in conditions, and connectors in having.
-        (n(_clause("select", "groupBy", "orderBy") & F.col("has_agg")) + n(_clause("where", "having") & F.col("is_not"))
+        (aggregates + n(_clause("where", "having") & F.col("is_not"))
          + n(_clause("having") & F.col("conn").isNotNull())).alias("n_agg"))
-    nested = clauses.filter(on_gold() & F.col("parent_id").isNotNull()).groupBy("parent_id").agg(
-        F.countDistinct("query_id").alias("n_nested")).withColumnRenamed("parent_id", "query_id")
+    if nested is None:
+        inside = on_gold() & F.col("parent_id").isNotNull() & (F.coalesce("link", F.lit("")) != "from")
+        nested = clauses.filter(inside).groupBy("parent_id").agg(
+            F.countDistinct("query_id").alias("n_nested")).withColumnRenamed("parent_id", "query_id")
     all_counts = counts.join(nested, "query_id", "left").withColumn("n_nested", F.coalesce("n_nested", F.lit(0)))
     present = sum((_int(F.col(c) > 0) for c in ("n_where", "n_group", "n_order", "n_limit")), F.lit(0))
     c1 = present + F.greatest(F.col("n_from") - 1, F.lit(0)) + F.col("n_or") + F.col("n_like")
@@ -336,8 +344,9 @@ def null_values(clauses: DataFrame, value: str = "value", is_subquery: str = "is
 
 
 def table_of(col_id: Column) -> Column:
-    """``__t`` of ``__t.c__``."""
-    return F.when(F.contains(col_id, F.lit(".")), F.substring_index(col_id, ".", 1))
+    """``__t`` of the column ``__t.c__`` and of the table ``__t__``; null for anything else."""
+    table = F.regexp_extract(col_id, r"^(__.+)__$", 1)
+    return F.when(F.contains(col_id, F.lit(".")), F.substring_index(col_id, ".", 1)).when(table != "", table)
 
 
 def query_tables(clauses: DataFrame, col_id: str = "col_id") -> DataFrame:
@@ -351,13 +360,14 @@ def query_tables(clauses: DataFrame, col_id: str = "col_id") -> DataFrame:
 def valid_columns(clauses: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query_id, side, col_id): catalog columns of the tables a query reads from.
 
-    The catalog has a row per column; it is folded to a row per table before the lookup.
+    The catalog has a row per column. With ``db_id`` on both sides a table is looked up in the query's own database only.
     """
-    read = query_tables(clauses).filter("valid").select("query_id", "side", "table_key")
-    per_table = catalog.withColumn("table_key", table_of(F.col("col_id"))).groupBy("table_key").agg(
-        F.collect_set("col_id").alias("_cols"))
-    found = lookup(read, materialize(per_table, "catalog"), ["table_key"])
-    return found.select("query_id", "side", F.explode("_cols").alias("col_id"))
+    scope = ["db_id"] if "db_id" in clauses.columns and "db_id" in catalog.columns else []
+    read = clauses.filter(_clause("from")).withColumn("table_key", table_of(F.col("col_id"))).filter(
+        F.col("table_key").isNotNull()).select("query_id", "side", *scope, "table_key").distinct()
+    columns = catalog.filter(F.contains("col_id", F.lit("."))).withColumn("table_key", table_of(F.col("col_id")))
+    found = read.join(columns.select(*scope, "table_key", "col_id").distinct(), [*scope, "table_key"])
+    return found.select("query_id", "side", "col_id").distinct()
 
 
 def canonical_columns(clauses: DataFrame, canonical: DataFrame) -> DataFrame:
