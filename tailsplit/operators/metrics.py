@@ -32,10 +32,41 @@ def exact_median(df: DataFrame, value: str) -> float | None:
     return (at[0] + at[1]) / 2
 
 
-def accuracy(df: DataFrame, pred: str, label: str) -> DataFrame:
+def accuracy_of(pred: str, label: str) -> Column:
     """Share of the labelled rows whose prediction is right; a missing prediction is wrong."""
     right = F.coalesce(F.col(pred) == F.col(label), F.lit(False))
-    return df.agg(F.round(F.avg(F.when(F.col(label).isNotNull(), right.cast("double"))), 6).alias("accuracy"))
+    return F.round(F.avg(F.when(F.col(label).isNotNull(), right.cast("double"))), 6)
+
+
+def squared_error_of(pred: str, label: str) -> Column:
+    """Mean squared error of the labelled rows; null if one of them has no prediction, so that a gap earns nothing."""
+    missing = F.count_if(F.col(label).isNotNull() & F.col(pred).isNull())
+    return F.when(missing == 0, F.round(F.avg(F.pow(F.col(pred) - F.col(label), 2)), 6))
+
+
+def sequence_accuracy_of(pred: str, ref: str) -> Column:
+    """Share of the rows with a reference whose white-space separated tokens are the same; a missing prediction is wrong."""
+    same = F.coalesce(white_split(pred) == white_split(ref), F.lit(False))
+    return F.round(F.avg(F.when(F.col(ref).isNotNull(), same.cast("double"))), 6)
+
+
+def generated_length_of(ids: str, pad: int) -> Column:
+    """Mean number of ids that are not padding, over the rows that have any; a missing row has no length."""
+    return F.round(F.avg(F.size(F.filter(F.col(ids), lambda i: i != F.lit(pad)))), 6)
+
+
+def missing_share_of(pred: str, label: str) -> Column:
+    """Share of the labelled rows without a prediction."""
+    return F.round(F.avg(F.when(F.col(label).isNotNull(), F.col(pred).isNull().cast("double"))), 6)
+
+
+def metrics_table(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """(metric, value) of many metrics from one pass over ``df``: their states merge in one aggregate."""
+    return long_metrics(df.agg(*[value.cast("double").alias(name) for name, value in metrics.items()]))
+
+
+def accuracy(df: DataFrame, pred: str, label: str) -> DataFrame:
+    return df.agg(accuracy_of(pred, label).alias("accuracy"))
 
 
 def argmax(values: Column) -> Column:
@@ -44,7 +75,7 @@ def argmax(values: Column) -> Column:
 
 
 def mse(df: DataFrame, pred: str, label: str) -> DataFrame:
-    return df.agg(F.round(F.avg(F.pow(F.col(pred) - F.col(label), 2)), 6).alias("mse"))
+    return df.agg(squared_error_of(pred, label).alias("mse"))
 
 
 def long_metrics(df: DataFrame) -> DataFrame:
@@ -69,15 +100,11 @@ def round_metrics(metrics: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def sequence_accuracy(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """Share of rows whose white-space separated tokens are the same on both sides."""
-    same = white_split(pred).eqNullSafe(white_split(ref))
-    return df.agg(F.round(F.avg(same.cast("double")), 6).alias("seq_accuracy"))
+    return df.agg(sequence_accuracy_of(pred, ref).alias("seq_accuracy"))
 
 
 def generated_length(df: DataFrame, ids: str, pad: int) -> DataFrame:
-    """Mean number of ids that are not padding."""
-    kept = F.filter(F.col(ids), lambda i: i != F.lit(pad))
-    return df.agg(F.round(F.avg(F.size(kept)), 6).alias("gen_len"))
+    return df.agg(generated_length_of(ids, pad).alias("gen_len"))
 
 
 def _grams(toks: Column, n: int) -> Column:
@@ -119,13 +146,14 @@ def _common_length(a: list[str], b: list[str]) -> int:
 
 
 def rouge_l(df: DataFrame, pred: str, ref: str, row_id: str = "row_id") -> DataFrame:
-    """(row_id, rouge): longest-common-subsequence F-measure of every pair, in percent."""
+    """(row_id, rouge): longest-common-subsequence F-measure of every pair, in percent; a missing side has no tokens."""
     @F.pandas_udf("long")
     def common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([_common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-    staged = df.select(row_id, tokens(pred).alias("a"), tokens(ref).alias("b"))
+    staged = df.select(row_id, *[F.coalesce(tokens(c), F.array().cast("array<string>")).alias(n)
+                                 for c, n in ((pred, "a"), (ref, "b"))])
     total = (F.size("a") + F.size("b")).cast("double")
     f = F.coalesce(F.try_divide(F.lit(200.0) * common("a", "b"), total), F.lit(0.0))
     return staged.select(row_id, F.round(f, 6).alias("rouge"))

@@ -436,6 +436,34 @@ def seq_accuracy(spark, sf):
     return metrics.sequence_accuracy(pairs(spark, sf).withColumn("pred", F.lower("target")), "pred", "target")
 
 
+@query("metrics_table", f"""WITH gold AS (SELECT conv_id, turn, role, text, length(text) AS n FROM conversations),
+       rows AS (SELECT role, text, n, CASE WHEN conv_id % 7 > 0 THEN 'user' END AS p_role,
+         CASE WHEN conv_id % 7 > 0 THEN CASE WHEN turn % 2 = 0 THEN text ELSE upper(text) END END AS p_text,
+         CASE WHEN turn > 0 THEN n END AS n_known, CASE WHEN turn > 0 THEN n + turn END AS n_pred, conv_id FROM gold),
+       m AS (SELECT avg(coalesce(p_role = role, false)::INT) FILTER (role IS NOT NULL) AS accuracy,
+         avg(coalesce({white('p_text')} = {white('text')}, false)::INT) FILTER (text IS NOT NULL) AS seq_accuracy,
+         avg(coalesce(p_text = text, false)::INT) FILTER (text IS NOT NULL) AS exact_match,
+         avg(pow(n_pred - n_known, 2)) AS mse, NULL::DOUBLE AS mse_missing,
+         avg((p_text IS NULL)::INT) FILTER (text IS NOT NULL) AS missing,
+         avg((p_text IS NOT NULL)::INT * 2) FILTER (p_text IS NOT NULL) AS gen_len FROM rows)
+       """ + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}::DOUBLE, 6) AS value FROM m" for m in (
+           "accuracy", "seq_accuracy", "exact_match", "mse", "mse_missing", "missing", "gen_len")))
+def metrics_table(spark, sf):
+    """Predictions for six of seven conversations, joined to all references."""
+    gold = table(spark, sf, "conversations").withColumn("n", F.char_length("text").cast("long"))
+    made = gold.where(F.col("conv_id") % 7 > 0).select(
+        "conv_id", "turn", F.lit("user").alias("p_role"),
+        F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.upper("text")).alias("p_text"),
+        (F.col("n") + 1).alias("p_n"), F.array(F.lit(5), F.lit(0), F.lit(6), F.lit(0)).alias("ids"))
+    rows = gold.join(made, ["conv_id", "turn"], "left").withColumn("n_known", F.when(F.col("turn") > 0, F.col("n"))).withColumn(
+        "n_pred", F.col("n_known") + F.col("turn"))
+    return metrics.metrics_table(rows, {
+        "accuracy": metrics.accuracy_of("p_role", "role"), "seq_accuracy": metrics.sequence_accuracy_of("p_text", "text"),
+        "exact_match": metrics.accuracy_of("p_text", "text"), "mse": metrics.squared_error_of("n_pred", "n_known"),
+        "mse_missing": metrics.squared_error_of("p_n", "n"), "missing": metrics.missing_share_of("p_text", "text"),
+        "gen_len": metrics.generated_length_of("ids", 0)})
+
+
 def grams(side: str, col: str, n: int) -> str:
     window = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
     return f"""{side} AS (SELECT row_id, {window} AS gram, count(*) AS n FROM (SELECT row_id, t, unnest(range(1, len(t) - {n - 2})) AS i

@@ -151,3 +151,16 @@ def test_divergence(spark):
     assert abs(atoms.atom_divergence(counts, "x", "y", "side").first()[0] - (1 - 0.5 ** 0.5)) < 1e-6
     same = spark.createDataFrame([("x", "a", 1), ("y", "a", 5)], "side string, atom string, n long")
     assert atoms.atom_divergence(same, "x", "y", "side").first()[0] == 0.0
+
+
+def test_missing_predictions_earn_nothing(spark):
+    df = spark.createDataFrame([(1, "a b", "a b", 1.0, 1.0), (2, None, "c", None, 2.0), (3, None, None, 3.0, None)],
+                               "row_id long, p string, r string, x double, y double")
+    assert {r.row_id: r.rouge for r in metrics.rouge_l(df, "p", "r").collect()} == {1: 100.0, 2: 0.0, 3: 0.0}
+    assert {r.row_id: r.rouge for r in metrics.rouge_n(df, "p", "r", 1).collect()}[2] == 0.0
+    assert metrics.mse(df, "x", "y").first()[0] is None
+    assert metrics.mse(df.where("row_id <> 2"), "x", "y").first()[0] == 0.0
+    assert metrics.sequence_accuracy(df, "p", "r").first()[0] == 0.5
+    table = metrics.metrics_table(df, {"accuracy": metrics.accuracy_of("p", "r"), "missing": metrics.missing_share_of("p", "r"),
+                                       "mse": metrics.squared_error_of("x", "y")})
+    assert {r.metric: r.value for r in table.collect()} == {"accuracy": 0.5, "missing": 0.5, "mse": None}
