@@ -1,7 +1,8 @@
 """The split recipes: who goes to train, dev and test.
 
 Each takes a narrow table (row_id, label, key, length) and returns it with a ``split`` column;
-texts are joined back by ``row_id`` only where they are written.
+texts are joined back by ``row_id`` only where they are written. The table is read several times,
+so pass a written one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tailsplit.operators.clean import clean_report, label_given, not_na, not_placeholder
 from tailsplit.operators.joins import lookup
-from tailsplit.operators.ranking import first_in_group, key_order, rank_rows, seeded_order
+from tailsplit.operators.ranking import key_order, rank_rows, seeded_order
+from tailsplit.operators.selection import choose, order_by
 from tailsplit.operators.targets import (assign_buckets, bucket_counts, bucket_targets, class_targets,
                                          length_histogram, quantile_buckets, unique_length_buckets)
 from tailsplit.scratch import materialize, row_count
@@ -22,10 +24,10 @@ UNIQUE_LENGTHS = "unique"
 
 def shuffle_halves(evaluation: DataFrame, label: str, seed: int) -> DataFrame:
     """Shuffle each class by the seed; the first ``test_target`` rows are test, the others dev."""
-    mixed = rank_rows(evaluation.withColumn("_mix", seeded_order(seed)),
-                      [F.col("_mix"), F.col("row_id")], [label], "_turn")
-    return mixed.withColumn(
-        "split", F.when(F.col("_turn") <= F.col("test_target"), "test").otherwise("dev")).drop("_mix", "_turn")
+    mixed = evaluation.withColumn("_mix", seeded_order(seed))
+    wanted = evaluation.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max("test_target").alias("k"))
+    chosen = choose(mixed, wanted, [label], order_by(mixed, "_mix"), "_test")
+    return chosen.withColumn("split", F.when(F.col("_test"), "test").otherwise("dev")).drop("_mix", "_test")
 
 
 def split_standard(rows: DataFrame, label: str, first: str, second: str, split: str = "split",
@@ -44,11 +46,11 @@ def dropped(rows: DataFrame, label: str) -> DataFrame:
 def split_classes(rows: DataFrame, label: str, test: int, dev: int, seed: int = 42, key: str = "key") -> DataFrame:
     """The least likely rows of every class become dev and test, the others train."""
     targets = materialize(class_targets(rows, label, key, test, dev), "targets")
-    ranked = rank_rows(rows.filter(F.col(label).isNotNull()), key_order(key), [label], "rank")
-    sided = lookup(ranked, targets, [label])
-    is_eval = F.col("rank") > F.col("class_rows") - F.col("test_target") - F.col("dev_target")
-    train = sided.filter(~is_eval).withColumn("split", F.lit("train"))
-    halves = shuffle_halves(sided.filter(is_eval), label, seed)
+    wanted = targets.select(label, F.col("class_rows").alias("n"),
+                            (F.col("class_rows") - F.col("test_target") - F.col("dev_target")).alias("k"))
+    sided = choose(rows.filter(F.col(label).isNotNull()), wanted, [label], order_by(rows, key), "_train")
+    train = sided.filter("_train").withColumn("split", F.lit("train"))
+    halves = shuffle_halves(lookup(sided.filter(~F.col("_train")), targets, [label]), label, seed)
     columns = [*rows.columns, "split"]
     return train.select(columns).unionByName(halves.select(columns)).unionByName(dropped(rows, label))
 
@@ -69,23 +71,18 @@ def rebalance(rows: DataFrame, needed: DataFrame, by: list[str], picked_end: str
     picked side takes, ``most`` or ``least``. Rows join it from that end and leave it from the
     other, so the rows that move are always those nearest to the border of the two sides.
     """
-    if by:
-        sided = lookup(rows, needed, by)
-        most = needed.agg(F.max(F.abs("needed"))).first()[0] or 0
-    else:
-        value = needed.first()["needed"]
-        sided, most = rows.withColumn("needed", F.lit(value)), abs(value)
-    if most == 0:
-        return rows
-    from_least = picked_end == "least"
-    joining = first_in_group(sided.filter((F.col("needed") > 0) & ~F.col("picked")),
-                             key_order(key, reverse=from_least), by, most, "_turn")
-    leaving = first_in_group(sided.filter((F.col("needed") < 0) & F.col("picked")),
-                             key_order(key, reverse=not from_least), by, most, "_turn")
-    moved = joining.unionByName(leaving).filter(F.col("_turn") <= F.abs("needed"))
-    moved = materialize(moved.select("row_id", F.lit(True).alias("_moved")), "moved")
-    return lookup(rows, moved, ["row_id"]).withColumn(
-        "picked", F.col("picked") != F.coalesce("_moved", F.lit(False))).drop("_moved")
+    by, columns = list(by), rows.columns
+    if not by:
+        by, rows, needed = ["_all"], rows.withColumn("_all", F.lit(0)), needed.withColumn("_all", F.lit(0))
+    sided = lookup(rows, needed.select(*by, F.col("needed").alias("_needed")), by)
+    side = F.when(F.col("_needed") > 0, ~F.col("picked")).when(F.col("_needed") < 0, F.col("picked")).otherwise(F.lit(False))
+    # Seen along the order, the rows that move are the last or the first ones of their side.
+    last = (F.col("_needed") > 0) == F.lit(picked_end == "least")
+    wanted = sided.filter(side).groupBy(*by, "_needed").agg(F.count(F.lit(1)).alias("n"))
+    wanted = wanted.select(*by, "n", F.when(last, F.col("n") - F.abs("_needed")).otherwise(F.abs("_needed")).alias("k"))
+    cut = choose(sided, wanted, by, order_by(rows, key), "_first", side)
+    moved = side & (F.col("_first") != last)
+    return cut.withColumn("picked", F.col("picked") != moved).select(*columns)
 
 
 def bucket_cut(rows: DataFrame, label: str, test: int, dev: int, buckets: int | str, seed: int = 42,
@@ -98,10 +95,10 @@ def bucket_cut(rows: DataFrame, label: str, test: int, dev: int, buckets: int |
     cuts = materialize(bucket_targets(counts, F.col("test_target") + F.col("dev_target"), seed, [label]).select(
         label, "length_bucket", "bucket_rows", "bucket_target"), "cuts")
 
-    ranked = rank_rows(assign_buckets(known, table, [label]), key_order(key), [label, "length_bucket"], "rank")
-    cut = lookup(ranked, cuts, [label, "length_bucket"], freq="bucket_rows", spread_by=["row_id"])
-    picked = cut.withColumn("picked", F.col("rank") > F.col("bucket_rows") - F.col("bucket_target"))
-    picked = materialize(picked.drop("bucket_rows", "bucket_target", "rank"), "picked")
+    wanted = cuts.select(label, "length_bucket", F.col("bucket_rows").alias("n"),
+                         (F.col("bucket_rows") - F.col("bucket_target")).alias("k"))
+    cut = choose(assign_buckets(known, table, [label]), wanted, [label, "length_bucket"], order_by(known, key), "_kept")
+    picked = materialize(cut.withColumn("picked", ~F.col("_kept")).drop("_kept"), "picked")
 
     have = picked.groupBy(label).agg(F.count_if("picked").alias("have"))
     needed = materialize(lookup(have, targets, [label]).select(
@@ -122,8 +119,8 @@ def split_classes_buckets(rows: DataFrame, label: str, test: int, dev: int, buck
 
 def fixed_train(rows: DataFrame, size: int, key: str = "key") -> DataFrame:
     """The ``size`` most likely rows are picked for train; no classes."""
-    ranked = rank_rows(rows, key_order(key), name="rank")
-    return ranked.withColumn("picked", F.col("rank") <= F.lit(size))
+    wanted = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(size))
+    return choose(rows, wanted, [], order_by(rows, key), "picked")
 
 
 def fixed_train_buckets(rows: DataFrame, size: int, buckets: int | str, seed: int = 42,
@@ -131,20 +128,19 @@ def fixed_train_buckets(rows: DataFrame, size: int, buckets: int | str, seed: in
     """Most likely rows of each length bucket, then moved to the exact train ``size``."""
     table = buckets_of(rows, buckets, [])
     cuts = materialize(bucket_targets(bucket_counts(table), F.lit(size), seed), "cuts")
-    ranked = rank_rows(assign_buckets(rows, table), key_order(key), ["length_bucket"], "rank")
-    cut = lookup(ranked, cuts, ["length_bucket"], freq="bucket_rows", spread_by=["row_id"])
-    picked = materialize(cut.withColumn("picked", F.col("rank") <= F.col("bucket_target")).drop(
-        "bucket_rows", "bucket_target", "rank"), "picked")
+    wanted = cuts.select("length_bucket", F.col("bucket_rows").alias("n"), F.col("bucket_target").alias("k"))
+    picked = materialize(choose(assign_buckets(rows, table), wanted, ["length_bucket"], order_by(rows, key), "picked"),
+                         "picked")
     needed = picked.agg((F.least(F.lit(size), F.count(F.lit(1))) - F.count_if("picked")).alias("needed"))
     return rebalance(picked, needed, [], "most", key)
 
 
 def halve_rest(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Rows not picked for train are shuffled; the first half (rounded down) is dev, the rest test."""
-    rest = rank_rows(rows.filter(~F.col("picked")).withColumn("_mix", seeded_order(seed)),
-                     [F.col("_mix"), F.col("row_id")], name="_turn")
-    n_dev = row_count(rest) // 2
-    rest = rest.withColumn("split", F.when(F.col("_turn") <= n_dev, "dev").otherwise("test"))
+    rest = rows.filter(~F.col("picked")).withColumn("_mix", seeded_order(seed))
+    wanted = rest.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.floor(F.col("n") / 2))
+    rest = choose(rest, wanted, [], order_by(rest, "_mix"), "_dev")
+    rest = rest.withColumn("split", F.when(F.col("_dev"), "dev").otherwise("test"))
     train = rows.filter("picked").withColumn("split", F.lit("train"))
     return train.unionByName(rest.select(train.columns))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tailsplit.functions.prompts import nli_prompt
 from tailsplit.functions.text import leading_letters, token_length
-from tailsplit.operators import atoms, lm, windows
+from tailsplit.operators import atoms, lm, ranking, windows
 from tailsplit.operators.joins import join_scores
 from tailsplit.plans import splits
 from tailsplit.queries.fixtures import (CV, D, SEED, bigram, bigram_lp, docs, pairs, row_scores, table, text_scores, tok,
@@ -272,7 +272,7 @@ def fixed_rows(spark, sf):
 
 def held_atoms(spark, sf):
     stem_rows = atoms.atom_rows(docs(spark, sf), extract=leading_letters)
-    return atoms.holders(fixed_rows(spark, sf), stem_rows)
+    return atoms.holders(ranking.rank_rows(fixed_rows(spark, sf), ranking.key_order()), stem_rows)
 
 
 @query("missing_atoms", HELD + "SELECT atom, rank, n_holders FROM missing")
@@ -298,7 +298,7 @@ BALANCED = HELD + """,
 
 @query("balance_atoms", BALANCED + "SELECT row_id, rank, picked FROM balanced")
 def balance_atoms(spark, sf):
-    rows = fixed_rows(spark, sf).drop("rank")
+    rows = fixed_rows(spark, sf)
     balanced, _ = atoms.balance_atoms(rows, atoms.atom_rows(docs(spark, sf), extract=leading_letters))
     return balanced.select("row_id", "rank", "picked")
 
@@ -307,6 +307,6 @@ def balance_atoms(spark, sf):
        .replace("balanced AS (", "swapped AS (") + REST.replace("FROM sided)", "FROM swapped)").replace("turn FROM sided", "turn FROM swapped") +
        "SELECT row_id, split FROM final")
 def split_fixed_train_balanced(spark, sf):
-    rows = fixed_rows(spark, sf).drop("rank")
+    rows = fixed_rows(spark, sf)
     balanced, _ = atoms.balance_atoms(rows, atoms.atom_rows(docs(spark, sf), extract=leading_letters))
     return splits.halve_rest(materialize(balanced, "balanced"), SEED).select("row_id", "split")
