@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tailsplit.functions import arrays, prompts, text as tx
-from tailsplit.operators import clean, joins, lm, metrics, seqprep
+from tailsplit.operators import clean, joins, lm, metrics, rouge, seqprep
 from tailsplit.operators.windows import batch_groups
 from tailsplit.plans import splits
 from tailsplit.queries.fixtures import (CV, D, DL, SQLROWS, docs, labelled, pairs, sql_rows, table, tok, unigram,
@@ -493,6 +493,36 @@ def rouge_l(spark, sf):
     return metrics.rouge_l(pairs(spark, sf), "prefix", "target")
 
 
+STEPS_SQL = " + ".join(f"(v >= {step})::BIGINT" for step in rouge.WEIGHT_STEPS)
+
+
+def rouge_corpus_sql() -> str:
+    """Unstemmed overlap of one and two tokens with the bounds from the same weights."""
+    rows = ", ".join(f"f{n} AS ({rouge_sql(n)})" for n in (1, 2))
+    sums = ", ".join(f"sum(w * m{n}) / sum(w)::DOUBLE / 1e6 AS x{n}" for n in (1, 2))
+    picks = " UNION ALL ".join(
+        f"""SELECT 'rouge{n}' AS metric, (SELECT round(avg(m{n}) / 1e6, 4) FROM units) AS mean, round(quantile_cont(x{n}, 0.025), 4) AS low,
+        round(quantile_cont(x{n}, 0.5), 4) AS mid, round(quantile_cont(x{n}, 0.975), 4) AS high FROM means""" for n in (1, 2))
+    return f"""WITH {rows}, units AS (SELECT f1.row_id, round(f1.rouge * 1e6)::BIGINT AS m1, round(f2.rouge * 1e6)::BIGINT AS m2
+        FROM f1 JOIN f2 USING (row_id)),
+    hashes AS (SELECT m1, m2, b, md5('{rouge.SEED}:' || row_id || ':' || b) AS h FROM units, range({rouge.SAMPLES // rouge.PER_HASH}) t(b)),
+    drawn AS (SELECT m1, m2, b * {rouge.PER_HASH} + j AS sample, ('0x' || substr(h, j * 4 + 1, 4))::BIGINT AS v FROM hashes, range({rouge.PER_HASH}) u(j)),
+    means AS (SELECT {sums} FROM (SELECT sample, m1, m2, {STEPS_SQL} AS w FROM drawn) WHERE w > 0 GROUP BY sample)
+    {picks}"""
+
+
+@query("rouge_corpus", rouge_corpus_sql())
+def rouge_corpus(spark, sf):
+    both = materialize(rouge.pair_scores(pairs(spark, sf), "prefix", "target"), "pair_scores")
+    return rouge.bootstrap(both, ["rouge1", "rouge2"])
+
+
+@query("rouge_corpus_stemmed")
+def rouge_corpus_stemmed(spark, sf):
+    """All four scores on stems, with sentence-level subsequences."""
+    return rouge.corpus_rouge(pairs(spark, sf), "prefix", "target")
+
+
 @query("run_counts", base_sql("random") + SPLIT_SQL + """SELECT split || '_samples' AS metric, least(count(*),
        CASE split WHEN 'train' THEN 1000 WHEN 'dev' THEN 20 END) AS value FROM final GROUP BY split""")
 def run_counts(spark, sf):
