@@ -303,6 +303,30 @@ def balance_atoms(spark, sf):
     return balanced.select("row_id", "rank", "picked")
 
 
+TRIGRAMS = "[text[i:i+2] for i in range(1, length(text) - 1)]"
+
+
+def letter_triples(col):
+    """All runs of three letters of a text: atoms of which many are missing and one row holds several."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(col) - 2, F.lit(1)))
+    return F.transform(F.filter(starts, lambda _: F.char_length(col) > 2), lambda i: F.substr(col, i, F.lit(3)))
+
+
+@query("balance_atoms_cover", f"""WITH d AS (SELECT text FROM documents), a AS (SELECT DISTINCT unnest({TRIGRAMS}) AS atom FROM d)
+       SELECT (SELECT (count(*) * 8) // 10 FROM d) AS n_before, (SELECT (count(*) * 8) // 10 FROM d) AS n_after,
+       (SELECT count(*) FROM a) AS n_atoms, 0::BIGINT AS n_missing""")
+def balance_atoms_cover(spark, sf):
+    """Sizes of the train side and what it lacks, after few rows that hold many missing atoms moved in."""
+    before = fixed_rows(spark, sf)
+    held = materialize(atoms.atom_rows(docs(spark, sf), extract=letter_triples), "atoms")
+    after, _ = atoms.balance_atoms(before, held, fewest=True)
+    after = materialize(after, "balanced")
+    sizes = before.agg(F.count_if("picked").alias("n_before")).crossJoin(after.agg(F.count_if("picked").alias("n_after")))
+    lacking = atoms.holders(after, held).groupBy("atom").agg(F.bool_or("picked").alias("there")).agg(
+        F.count(F.lit(1)).alias("n_atoms"), F.count_if(~F.col("there")).alias("n_missing"))
+    return sizes.crossJoin(lacking)  # one row on either side
+
+
 @query("split_fixed_train_balanced", BALANCED.replace("sided AS (", "sided0 AS (").replace("held AS", "sided AS (SELECT * FROM sided0), held AS", 1)
        .replace("balanced AS (", "swapped AS (") + REST.replace("FROM sided)", "FROM swapped)").replace("turn FROM sided", "turn FROM swapped") +
        "SELECT row_id, split FROM final")
