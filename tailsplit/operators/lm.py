@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ NANO = 1e9
 # Weights of the models: add-k smoothing and the share of the pair estimate.
 ADD_K = 1.0
 PAIR_WEIGHT = 0.7
+# Stands for a missing context in the table of log-probabilities; no token is empty.
+NO_CONTEXT = ""
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,19 @@ class Bigram:
         pair = F.coalesce(n_pair, F.lit(0)) / n_ctx
         return F.when(n_ctx.isNull(), base).otherwise(F.lit(self.weight) * pair + F.lit(1 - self.weight) * base)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """(_c, token, _n, lp): the log-probability of every pair seen, and of every token without context.
+
+        Worked out once per model and pair. ``_n`` bounds how often the row is met in the fitted texts.
+        """
+        both = lookup(self.pairs, self.unigram.counts, ["token"], freq="n", spread_by=["ctx"])
+        both = lookup(both, self.contexts, ["ctx"], freq="n_ctx", spread_by=["token"])
+        p = self.probability(F.col("n"), F.col("n_pair"), F.col("n_ctx"))
+        seen = both.select(F.col("ctx").alias("_c"), "token", F.col("n_pair").alias("_n"), nano_log(p).alias("lp"))
+        alone = unigram_table(self.unigram).select(F.lit(NO_CONTEXT).alias("_c"), "token", F.col("n").alias("_n"), "lp")
+        return materialize(seen.unionByName(alone), "scored")
+
 
 def fit_unigram(df: DataFrame, text: str = "text", add_k: float = ADD_K) -> Unigram:
     """Token counts of a whole corpus; the counts are combined before the shuffle."""
@@ -111,12 +127,29 @@ def with_unigram_lp(occurrences: DataFrame, model: Unigram, spread_by: list[str]
 
 
 def with_bigram_lp(occurrences: DataFrame, model: Bigram, spread_by: list[str]) -> DataFrame:
-    """Add ``lp`` to (…, ctx, token) rows; a null ``ctx`` means no context."""
-    out = lookup(occurrences, model.unigram.counts, ["token"], freq="n", spread_by=spread_by)
-    out = lookup(out, model.contexts, ["ctx"], freq="n_ctx", spread_by=spread_by)
-    out = lookup(out, model.pairs, ["ctx", "token"], freq="n_pair", spread_by=spread_by)
-    p = model.probability(F.col("n"), F.col("n_pair"), F.col("n_ctx"))
-    return out.withColumn("lp", F.when(F.col("token").isNotNull(), nano_log(p))).drop("n", "n_pair", "n_ctx")
+    """Add ``lp`` to (…, ctx, token) rows; a null ``ctx`` means no context.
+
+    The occurrences are exchanged once at most. Counts of tokens and contexts that can be broadcast are, and only
+    the pair is looked up. Of larger ones the log-probability is worked out once per pair beforehand, and
+    only pairs the model never saw go on to the counts, in a shuffle of their own.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        rows = lookup(rows, model.unigram.counts, ["token"], freq="n", spread_by=spread_by)
+        return lookup(rows, model.contexts, ["ctx"], freq="n_ctx", spread_by=spread_by)
+
+    def lp_of(n_pair: Column) -> Column:
+        p = model.probability(F.col("n"), n_pair, F.col("n_ctx"))
+        return F.when(F.col("token").isNotNull(), nano_log(p))
+
+    columns = occurrences.columns
+    if joins.fits_broadcast(model.unigram.counts) and joins.fits_broadcast(model.contexts):
+        out = lookup(counted(occurrences), model.pairs, ["ctx", "token"], freq="n_pair", spread_by=spread_by)
+        return out.select(*columns, lp_of(F.col("n_pair")).alias("lp"))
+    keyed = occurrences.withColumn("_c", F.coalesce("ctx", F.lit(NO_CONTEXT)))
+    out = lookup(keyed, model.scored, ["_c", "token"], freq="_n", spread_by=spread_by).select(*columns, "lp")
+    unseen = F.col("lp").isNull() & F.col("token").isNotNull()
+    return out.filter(~unseen).unionByName(
+        counted(out.filter(unseen).drop("lp")).select(*columns, lp_of(F.lit(0)).alias("lp")))
 
 
 def row_scores(scored: DataFrame, row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:

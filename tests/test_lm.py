@@ -173,3 +173,25 @@ def test_corpus_perplexity_outgrows_a_long(spark):
     lp = -9_000_000_000_000_000_000
     row = lm.corpus_perplexity(spark.createDataFrame([(lp,)] * 4, "lp long")).first()
     assert (row.n_tokens, row.mean_ll) == (4, lp / 1e9)
+
+
+@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
+def test_unseen_pairs_and_one_exchange_of_the_occurrences(spark, monkeypatch, limit):
+    """Pairs, tokens and contexts the model never saw, with and without broadcasts."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(joins, "HEAD_ROWS", 4)
+    seen = spark.createDataFrame([(1, "a b c a b"), (2, "b a"), (3, None), (4, "")], "row_id long, text string")
+    model = lm.fit_bigram(seen)
+    uni = {r["token"]: r["n"] for r in model.unigram.counts.collect()}
+    big = {(r["ctx"], r["token"]): r["n_pair"] for r in model.pairs.collect()}
+    ctx = {r["ctx"]: r["n_ctx"] for r in model.contexts.collect()}
+    asked = [(c, t) for c in (None, "a", "b", "c", "z") for t in ("a", "b", "c", "z", None)]
+    occ = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(asked)], "row_id long, ctx string, token string")
+    out = lm.with_bigram_lp(occ, model, ["row_id"])
+    assert out.columns == ["row_id", "ctx", "token", "lp"]
+    got = {r["row_id"]: r["lp"] for r in out.collect()}
+    assert len(got) == out.count() == len(asked)
+    for i, (c, t) in enumerate(asked):
+        base = (uni.get(t, 0) + 1.0) / (sum(uni.values()) + len(uni))
+        p = base if c not in ctx else 0.7 * (big.get((c, t), 0) / ctx[c]) + (1 - 0.7) * base
+        assert got[i] == (None if t is None else round(math.log(p) * 1e9)), (c, t)
