@@ -14,6 +14,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 HEAD_ROWS = 100_000
 SPREAD = 4096
+# Room for the turns of one conversation in a turn's id; a turn number of 32 bits always fits.
+TURNS = 1 << 32
 
 
 def fits_broadcast(dim: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
@@ -102,6 +104,11 @@ def join_label_ids(rows: DataFrame, label: str, dim: DataFrame) -> DataFrame:
     return known.withColumn("label_id", F.when(marker, F.lit(-1)).otherwise(F.col("label_id")))
 
 
+def turn_id(conv: str = "conv_id", turn: str = "turn") -> Column:
+    """One number for a turn of a conversation, unique as (conv, turn) is; fails beyond 64 bits."""
+    return F.col(conv).cast("long") * F.lit(TURNS) + F.col(turn)
+
+
 def next_turn_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text",
                     role: str = "role") -> DataFrame:
     """(prefix, target) of consecutive turns.
@@ -112,5 +119,4 @@ def next_turn_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     first = turns.select(F.col(conv), F.col(turn), F.col(text).alias("prefix"))
     after = turns.select(F.col(conv), (F.col(turn) - 1).alias(turn), F.col(text).alias("target"),
                          F.col(role).alias("label"))
-    return first.join(after, [conv, turn], "inner").withColumn(
-        "row_id", F.col(conv) * F.lit(1000) + F.col(turn))
+    return first.join(after, [conv, turn], "inner").withColumn("row_id", turn_id(conv, turn))

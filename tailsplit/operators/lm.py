@@ -208,10 +208,10 @@ def conditional_occurrences(df: DataFrame, prefix: str, target: str, keep: list[
 
 
 def score_conditional(df: DataFrame, model: Bigram, prefix: str = "prefix", target: str = "target",
-                      row_id: str = "row_id") -> DataFrame:
-    """Likelihood of ``target`` given ``prefix``; prefix tokens are context only."""
-    occurrences = conditional_occurrences(df, prefix, target, [row_id])
-    return row_scores(with_bigram_lp(occurrences, model, [row_id, "pos"]), row_id)
+                      row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Likelihood of ``target`` given ``prefix``, with the narrow columns ``keep``; prefix tokens are context only."""
+    occurrences = conditional_occurrences(df, prefix, target, [row_id, *keep])
+    return row_scores(with_bigram_lp(occurrences, model, [row_id, "pos"]), row_id, keep)
 
 
 def score_last_word(df: DataFrame, model: Bigram, text: str = "text", row_id: str = "row_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailsplit.operators.joins import next_turn_pairs
+from tailsplit.operators.joins import TURNS, next_turn_pairs
 from tailsplit.sources.readers import spread
 
 SEED = 42
@@ -46,7 +46,7 @@ def sql_shape() -> tuple[Column, Column]:
 D = "d AS (SELECT doc_id AS row_id, text, lang, source, n_chars FROM documents)"
 DL = ("dl AS (SELECT doc_id AS row_id, text, lang, source, n_chars, quality, toxic "
       "FROM documents JOIN labels USING (doc_id))")
-CV = ("cv AS (SELECT a.conv_id*1000+a.turn AS row_id, a.conv_id, a.turn, a.text AS prefix, b.text AS target, "
+CV = (f"cv AS (SELECT a.conv_id*{TURNS}+a.turn AS row_id, a.conv_id, a.turn, a.text AS prefix, b.text AS target, "
       "b.role AS label FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)")
 SQLROWS = ("sqlrows AS (SELECT doc_id AS row_id, source || ': ' || text || ' | ' || lang AS query, "
            "'select text from ' || lang || ' where ' || text AS parse FROM documents)")

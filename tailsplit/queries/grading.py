@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailsplit.operators import fk
+from tailsplit.operators import fk, joins
 from tailsplit.operators import grade as g
 from tailsplit.operators.compare import multiset_match, result_set_match
 from tailsplit.queries.fixtures import table, with_
@@ -277,14 +277,14 @@ def sink_eval_rows(spark, sf):
 
 
 @query("multiset_match", with_(r"""
-    t AS (SELECT conv_id*1000+turn AS row_id, text FROM conversations),
+    t AS (SELECT conv_id*4294967296+turn AS row_id, text FROM conversations),
     p AS (SELECT row_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS unit, 1 AS pn, 0 AS gn FROM t),
     g AS (SELECT row_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS unit, 0 AS pn, 1 AS gn FROM t),
     c AS (SELECT row_id, unit, sum(pn) AS pn, sum(gn) AS gn FROM (SELECT * FROM p UNION ALL SELECT * FROM g) GROUP BY row_id, unit)""")
        + "SELECT row_id, sum(gn)::BIGINT AS label_total, sum(pn)::BIGINT AS pred_total, sum(least(pn, gn))::BIGINT AS cnt FROM c GROUP BY row_id")
 def multiset(spark, sf):
     from tailsplit.functions.text import TOKEN_PATTERN, tokens
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    turns = table(spark, sf, "conversations").select(joins.turn_id().alias("row_id"), "text")
     pred = turns.select("row_id", F.explode(tokens("text")).alias("unit"))
     gold = turns.select("row_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("unit"))
     return multiset_match(pred, gold, ["row_id"], ["unit"])
@@ -336,7 +336,7 @@ def join_fk_canon(spark, sf):
     return g.canonical_columns(rows, canonical).select("query_id", "side", "pos", "unit", "col_id")
 
 
-@query("fk_canonical_ids", """WITH RECURSIVE nodes AS (SELECT conv_id*1000+turn AS id, conv_id, turn FROM conversations),
+@query("fk_canonical_ids", """WITH RECURSIVE nodes AS (SELECT conv_id*4294967296+turn AS id, conv_id, turn FROM conversations),
        walk AS (SELECT id, conv_id, turn, id AS root FROM nodes n WHERE NOT EXISTS
          (SELECT 1 FROM nodes m WHERE m.conv_id = n.conv_id AND m.turn = n.turn - 1)
          UNION ALL SELECT n.id, n.conv_id, n.turn, w.root FROM walk w JOIN nodes n ON n.conv_id = w.conv_id AND n.turn = w.turn + 1)
@@ -346,5 +346,5 @@ def fk_canonical_ids(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
     edges = turns.join(after, ["conv_id", "turn"], "left_semi").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("a"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("b"))
+        joins.turn_id().alias("a"), (joins.turn_id() + 1).alias("b"))
     return fk.canonical_ids(edges, "a", "b")

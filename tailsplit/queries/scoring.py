@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from tailsplit.functions.prompts import nli_prompt
 from tailsplit.functions.text import leading_letters, token_length
-from tailsplit.operators import atoms, lm, ranking, windows
-from tailsplit.operators.joins import join_scores
+from tailsplit.operators import atoms, joins, lm, ranking, windows
+from tailsplit.operators.joins import join_scores, turn_id
 from tailsplit.plans import splits
 from tailsplit.queries.fixtures import (CV, D, SEED, bigram, bigram_lp, docs, pairs, row_scores, table, text_scores, tok,
                                         unigram, with_, words)
 from tailsplit.queries.registry import query
-from tailsplit.queries.splitting import REST, SCORED_SQL, base_sql, fixed_sql, four_fifths, labelled, pool, split_score
+from tailsplit.queries.splitting import (REST, SCORED_SQL, SIDED, base_sql, fixed_sql, four_fifths, halves_sql, labelled,
+                                         pool, split_score, tenth)
 from tailsplit.scratch import materialize, new_path
 from tailsplit.sources.writers import write_scores
 
-TURNS = "turns AS (SELECT conv_id*1000+turn AS row_id, text FROM conversations)"
+TURNS = f"turns AS (SELECT conv_id*{joins.TURNS}+turn AS row_id, text FROM conversations)"
 
 
 def turns(spark, sf):
-    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    return table(spark, sf, "conversations").select(turn_id().alias("row_id"), "text")
 
 
 # --- fitting and unconditional scores ----------------------------------------------------
@@ -113,6 +114,18 @@ def score_conditional(spark, sf):
     return lm.score_conditional(pairs(spark, sf), lm.fit_bigram(turns(spark, sf)))
 
 
+@query("split_score_conditional", with_(TURNS, CV, bigram("turns"), cond_occ("cv", "prefix", "target"),
+                                        bigram_lp("occ", "occ.row_id"), row_scores("cv", "occ_lp"), """
+       base AS (SELECT row_id, label, n_tokens AS length, ll_score, -ll_score AS key FROM cv JOIN scores USING (row_id))""")
+       + SIDED + halves_sql(", ll_score") + "SELECT * FROM final")
+def split_score_conditional(spark, sf):
+    """Classes split by the likelihood of the second text given the first, with the length of the second."""
+    scores = lm.score_conditional(pairs(spark, sf), lm.fit_bigram(turns(spark, sf)), keep=["label"])
+    base = materialize(scores.withColumnRenamed("n_tokens", "length").drop("ppl_score").withColumn(
+        "key", ranking.likelihood_key("ll_score", "ll")), "base")
+    return splits.split_classes(base, "label", tenth(base), tenth(base), SEED).drop("key")
+
+
 LABELLED_PREFIX = ("lab AS (SELECT row_id, 'Premise: ' || prefix || CASE label WHEN 'user' THEN ' This hypothesis is entailed:' "
                    "WHEN 'assistant' THEN ' This hypothesis is a contradiction:' ELSE ' This hypothesis is neutral:' END AS pre, "
                    "' ' || target AS tgt FROM cv)")

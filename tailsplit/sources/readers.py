@@ -14,19 +14,19 @@ TEXT_TO_SQL = "query string, parse string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
-    """Headered CSV with quoted fields.
+    """Headered CSV with quoted fields; a row or field that does not fit the schema fails the read.
 
     A quoted line break forces one task per file; pass ``multi_line=False`` for files without
     any, which Spark then splits.
     """
     return (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
-            .option("escape", '"').option("enforceSchema", False).csv(path))
+            .option("escape", '"').option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str = TEXT_TO_SQL, multi_line: bool = True) -> DataFrame:
-    """Headerless tab-separated file with the columns named by ``schema``."""
+    """Headerless tab-separated file with the columns named by ``schema``; a row that does not fit it fails the read."""
     return (spark.read.schema(schema).option("sep", "\t").option("multiLine", multi_line)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("mode", "FAILFAST").csv(path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -74,3 +74,12 @@ def test_a_missing_prediction_is_wrong(spark):
     both = joins.join_predictions(gold, spark.createDataFrame([(1, "a"), (3, "c")], "row_id long, pred string"))
     assert both.count() == 2
     assert metrics.accuracy(both, "pred", "gold").first().accuracy == 0.5
+
+
+def test_turn_ids_of_long_conversations_differ(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"{c} {t}") for c in (1, 2) for t in range(1003)],
+                                  "conv_id long, turn int, role string, text string")
+    got = joins.next_turn_pairs(turns)
+    assert got.count() == got.select("row_id").distinct().count() == 2 * 1002
+    far = spark.createDataFrame([(1, 2 ** 31 - 1), (2, 0), (-1, 5)], "conv_id long, turn int")
+    assert far.select(joins.turn_id()).distinct().count() == 3

@@ -164,3 +164,17 @@ def test_missing_predictions_earn_nothing(spark):
     table = metrics.metrics_table(df, {"accuracy": metrics.accuracy_of("p", "r"), "missing": metrics.missing_share_of("p", "r"),
                                        "mse": metrics.squared_error_of("x", "y")})
     assert {r.metric: r.value for r in table.collect()} == {"accuracy": 0.5, "missing": 0.5, "mse": None}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_malformed_rows_of_delimited_files_fail(spark, tmp_path, multi_line):
+    good, bad, short = [tmp_path / n for n in ("good.csv", "bad.csv", "short.tsv")]
+    good.write_text('a,b\n1,"x, y"\n\n2,\n')
+    bad.write_text("a,b\n1,x\nmany,y\n")
+    short.write_text("select 1\n")
+    rows = readers.read_csv(spark, str(good), "a long, b string", multi_line).collect()
+    assert [(r.a, r.b) for r in rows] == [(1, "x, y"), (2, None)] or [(r.a, r.b) for r in rows] == [(1, "x, y"), (2, "")]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_csv(spark, str(bad), "a long, b string", multi_line).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_tsv(spark, str(short), multi_line=multi_line).collect()
