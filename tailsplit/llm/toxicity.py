@@ -24,6 +24,7 @@ from tailsplit.scratch import materialize
 
 TRAIN_ROWS = 20_000  # labelled texts used for fitting, at most
 LANDMARKS, CANDIDATES = 128, 1500
+WORDS_AT_ONCE = 8192  # words whose triples are laid out together
 GAIN = 6.0  # log-likelihood gain from which a word is taken to speak for toxicity
 WITNESSES = 3
 DECAY = 0.6
@@ -61,7 +62,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(starts) > 1:
-        limits = np.cumsum(found == LIMIT)
+        limits = np.cumsum(found == LIMIT, dtype=np.int32)
         lone = ends - starts == 1
         joined = lone[1:] & lone[:-1] & (limits[starts[1:]] == limits[starts[:-1]])
         if joined.any():
@@ -174,9 +175,12 @@ class BlockScorer:
             self.known.clear()
         new = [i for i, key in enumerate(keys) if key not in self.known]
         if new:
-            where = at[new]
-            spelled = [spell(found, s, e) for s, e in zip(starts[where].tolist(), ends[where].tolist())]
-            self.known.update(zip([keys[i] for i in new], scores_of(spelled, self.weights, self.bias).tolist()))
+            # In slices: the triples of a very long text's words take hundreds of times its length.
+            for first in range(0, len(new), WORDS_AT_ONCE):
+                some = new[first:first + WORDS_AT_ONCE]
+                where = at[some]
+                spelled = [spell(found, s, e) for s, e in zip(starts[where].tolist(), ends[where].tolist())]
+                self.known.update(zip([keys[i] for i in some], scores_of(spelled, self.weights, self.bias).tolist()))
         values = np.fromiter((self.known[key] for key in keys), np.float64, len(keys))
         once = np.unique(text * len(keys) + inverse)
         text, word = once // len(keys), once % len(keys)
