@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,47 @@ def result_set_match(pred: DataFrame, gold: DataFrame, columns: Sequence[str], b
     return counts.groupBy(*by).agg(same) if by else counts.agg(same)
 
 
+def _list_signature(keys: Sequence[Column], present: Column) -> list[Column]:
+    """Sums that tell one bag of keys from another: both halves of two 64-bit hashes, added up as whole numbers.
+
+    They merge in any order. Halves of 32 bits leave room for 2^31 rows; beyond that the sum fails and is never wrong.
+    Null and empty values differ. Two different bags agree with a chance of about 2^-128.
+    """
+    sums = []
+    for salt in (0, 1):
+        h = F.xxhash64(F.lit(salt), *[part for key in keys for part in (key.isNull(), key)])
+        sums += [F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))]
+    return [F.coalesce(F.sum(F.when(present, part)), F.lit(0)) for part in sums]
+
+
+def aligned_match(cells: DataFrame, columns: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, same_result): whether both results have the same output columns, each with the same values in the same order.
+
+    ``columns`` (by, side, ordinal, name) has a row per output column, so that empty results have columns too; ``cells``
+    (by, side, ordinal, pos, value) a row per value, ``pos`` being the row's place in its result. Sides are "pred" and
+    "gold". Columns are aligned by name, wherever they stand; of one name the last column counts. A result without
+    columns, that of a failed query, is the same as none. Cells of a column that is not listed are ignored.
+
+    Each column shrinks to one signature before the shuffle: rows are not sorted, joined or gathered.
+    """
+    by = list(by)
+    place = [*by, "side", "ordinal"]
+    kinds = {f.name: f.dataType for f in cells.schema} | {f.name: f.dataType for f in columns.schema}
+    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("name", "pos", "value")}
+    both = columns.select(*place, "name", none["pos"], none["value"], F.lit(False).alias("_cell")).unionByName(
+        cells.select(*place, none["name"], "pos", "value", F.lit(True).alias("_cell")))
+    sums = _list_signature([F.col("pos"), F.col("value")], F.col("_cell"))
+    signed = both.groupBy(*place).agg(
+        F.max("name").alias("name"), F.count_if("_cell").alias("_n"), *[s.alias(f"_s{i}") for i, s in enumerate(sums)])
+    signature = F.struct("_n", *[f"_s{i}" for i in range(len(sums))])
+    last = signed.filter(F.col("name").isNotNull()).groupBy(*by, "side", "name").agg(
+        F.max_by(signature, F.col("ordinal")).alias("_list"))
+    aligned = last.groupBy(*by, "name").agg(F.count(F.lit(1)).alias("_sides"), F.min("_list").alias("_low"),
+                                            F.max("_list").alias("_high"))
+    return aligned.groupBy(*by).agg(
+        F.bool_and((F.col("_sides") == 2) & (F.col("_low") == F.col("_high"))).alias("same_result"))
+
+
 def result_differences(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """The rows only one side has, repeats counted."""
     return pred.exceptAll(gold).withColumn("side", F.lit("pred")).unionByName(

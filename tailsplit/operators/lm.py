@@ -228,6 +228,31 @@ def score_last_word(df: DataFrame, model: Bigram, text: str = "text", row_id: st
         "ll_score", "ppl_score")
 
 
+def last_word_rows(df: DataFrame, model: Bigram, text: str = "text", row_id: str = "row_id", k: int = 10) -> DataFrame:
+    """(row_id, pos, token, ll, token_rank, alternatives): one row per token of the last word, for a prediction log.
+
+    ``alternatives`` are the ``k`` most probable tokens at that place, the best one last; ``token_rank`` tells which of them
+    the token is, 1 for the best, null if it is none. A text without tokens in its last word has no row. Followers are
+    ranked for the contexts asked only; after a context never seen, or none, the most frequent tokens stand.
+    """
+    context, last = split_last_word(text)
+    staged = df.select(row_id, context.alias("_prefix"), last.alias("_target"))
+    occ = conditional_occurrences(staged, "_prefix", "_target", [row_id]).filter(F.col("token").isNotNull())
+    scored = materialize(with_bigram_lp(occ, model, [row_id, "pos"]), "last_word")
+    asked = materialize(scored.filter(F.col("ctx").isNotNull()).groupBy("ctx").agg(F.count(F.lit(1)).alias("_n")), "asked")
+    # At most k rows a context.
+    listed = top_next_tokens(model, asked.select("ctx"), k).groupBy("ctx").agg(F.sort_array(
+        F.collect_list(F.struct((-F.col("next_rank")).alias("r"), "token")))["token"].alias("alternatives"))
+    listed = materialize(listed.join(asked, "ctx"), "alternatives")
+    frequent = [r["token"] for r in reversed(_most_frequent(model.unigram, k))]
+    always = F.array(*[F.lit(t) for t in frequent]).cast("array<string>")
+    known = lookup(scored, listed, ["ctx"], freq="_n", spread_by=[row_id, "pos"]).withColumn(
+        "alternatives", F.coalesce("alternatives", always))
+    at = F.array_position("alternatives", F.col("token"))
+    return known.select(row_id, F.col("pos").cast("long").alias("pos"), "token", micro(F.col("lp")).alias("ll"),
+                        F.when(at > 0, F.size("alternatives") - at + 1).alias("token_rank"), "alternatives")
+
+
 def score_summary(scores: DataFrame) -> DataFrame:
     """Mean, median, largest, smallest and spread of both scores, one row per score.
 
@@ -264,6 +289,11 @@ def safe_exp(x: Column) -> Column:
     return F.when(x > 709, F.lit(float("inf"))).otherwise(F.exp(F.least(x, F.lit(709.0))))
 
 
+def _most_frequent(model: Unigram, k: int) -> list:
+    """The ``k`` most frequent tokens as rows, ties in the order of the tokens."""
+    return model.counts.orderBy(F.col("n").desc(), F.col("token")).limit(k).collect()
+
+
 def top_next_tokens(model: Bigram, contexts: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(ctx, next_rank, token, p): the ``k`` most probable next tokens of every context.
 
@@ -276,7 +306,7 @@ def top_next_tokens(model: Bigram, contexts: DataFrame | None = None, k: int = 1
     if contexts is not None:
         known = materialize(known.join(contexts, "ctx", "left_semi"), "contexts")
         pairs = pairs.join(known, "ctx", "left_semi")
-    frequent = model.unigram.counts.orderBy(F.col("n").desc(), F.col("token")).limit(k).collect()
+    frequent = _most_frequent(model.unigram, k)
     every = F.explode(F.array(*[F.struct(F.lit(r["token"]).alias("token"), F.lit(0).cast("long").alias("n_pair"))
                                 for r in frequent]))
     guesses = known.select("ctx", every.alias("_c")).select("ctx", "_c.token", "_c.n_pair")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tailsplit.operators import fk, joins
 from tailsplit.operators import grade as g
-from tailsplit.operators.compare import multiset_match, result_set_match
+from tailsplit.operators.compare import aligned_match, multiset_match, result_set_match
 from tailsplit.queries.fixtures import table, with_
 from tailsplit.queries.registry import query
 from tailsplit.scratch import materialize
@@ -296,6 +296,68 @@ def result_sets(spark, sf):
     return result_set_match(rows.filter(g.on_pred()), rows.filter(g.on_gold()), ["col_id", "value"], ["query_id"])
 
 
+# Every order is a query, its lines are the rows of its result. By the order's number the prediction selects in another
+# order, swaps rows, repeats a column, returns nothing, failed, or selects something else.
+RESULTS = """
+    o3 AS (SELECT unnest(range(3)) AS o),
+    head AS (SELECT o_orderkey AS query_id, 'gold' AS side, o AS ordinal, list_extract(['part','supp','flag'], o + 1) AS name FROM orders, o3
+      UNION ALL SELECT o_orderkey, 'pred', (o + o_orderkey) % 3, CASE WHEN o_orderkey % 19 = 0 AND o = 1 THEN 'other'
+        ELSE list_extract(['part','supp','flag'], o + 1) END FROM orders, o3 WHERE o_orderkey % 17 <> 0
+      UNION ALL SELECT o_orderkey, 'pred', 3, 'part' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 17 <> 0),
+    golds AS (SELECT *, l_linenumber AS pos FROM lineitem WHERE l_orderkey % 11 <> 0),
+    preds AS (SELECT * REPLACE (CASE WHEN l_orderkey % 4 = 0 AND pos <= 2 THEN 3 - pos ELSE pos END AS pos,
+      CASE WHEN l_discount = 0.1 THEN 'X' || l_returnflag ELSE l_returnflag END AS l_returnflag)
+      FROM golds WHERE l_orderkey % 13 <> 0 AND l_orderkey % 17 <> 0),
+    cells AS (SELECT l_orderkey AS query_id, 'gold' AS side, o AS ordinal, pos,
+      list_extract([l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag], o + 1) AS value FROM golds, o3
+      UNION ALL SELECT l_orderkey, 'pred', (o + l_orderkey) % 3, pos,
+      list_extract([l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag], o + 1) FROM preds, o3
+      UNION ALL SELECT l_orderkey, 'pred', 3, pos, (l_partkey + l_orderkey % 2)::VARCHAR FROM preds WHERE l_orderkey % 7 = 0),
+    lists AS (SELECT query_id, side, ordinal, name, list({'pos': pos, 'value': value} ORDER BY pos, value) FILTER (pos IS NOT NULL) AS vals
+      FROM head LEFT JOIN cells USING (query_id, side, ordinal) GROUP BY ALL),
+    lasts AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, side, name ORDER BY ordinal DESC) = 1)"""
+
+
+def result_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(cells, columns) of the results of both sides."""
+    names = ("part", "supp", "flag")
+    key = F.col("o_orderkey")
+
+    def head(side: str, ordinal, name, when):
+        return F.when(when, F.struct(F.lit(side).alias("side"), ordinal.cast("long").alias("ordinal"), name.alias("name")))
+
+    failed = key % 17 == 0
+    heads = [head("gold", F.lit(i), F.lit(n), F.lit(True)) for i, n in enumerate(names)]
+    heads += [head("pred", (key + i) % 3, F.when((key % 19 == 0) & F.lit(n == "supp"), "other").otherwise(n), ~failed)
+              for i, n in enumerate(names)]
+    heads.append(head("pred", F.lit(3), F.lit("part"), (key % 7 == 0) & ~failed))
+    columns = table(spark, sf, "orders").select(key.alias("query_id"), F.inline(F.array_compact(F.array(*heads))))
+
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+
+    def cell(side: str, ordinal, pos, value, when):
+        return F.when(when, F.struct(F.lit(side).alias("side"), ordinal.cast("long").alias("ordinal"), pos.alias("pos"),
+                                     value.cast("string").alias("value")))
+
+    there, swapped = (key % 13 != 0) & (key % 17 != 0), F.when((key % 4 == 0) & (line <= 2), 3 - line).otherwise(line)
+    golds = [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_returnflag")]
+    preds = golds[:2] + [F.when(F.col("l_discount") == 0.1, F.concat(F.lit("X"), golds[2])).otherwise(golds[2])]
+    made = [cell("gold", F.lit(i), line, v, F.lit(True)) for i, v in enumerate(golds)]
+    made += [cell("pred", (key + i) % 3, swapped, v, there) for i, v in enumerate(preds)]
+    made.append(cell("pred", F.lit(3), swapped, golds[0] + key % 2, there & (key % 7 == 0)))
+    cells = table(spark, sf, "lineitem").filter(key % 11 != 0).select(
+        key.alias("query_id"), F.inline(F.array_compact(F.array(*made))))
+    return cells, columns
+
+
+@query("result_columns_match", with_(RESULTS) + """SELECT query_id, bool_and(p.name IS NOT NULL AND g.name IS NOT NULL
+       AND p.vals IS NOT DISTINCT FROM g.vals) AS same_result FROM (SELECT * FROM lasts WHERE side = 'pred') p
+       FULL JOIN (SELECT * FROM lasts WHERE side = 'gold') g USING (query_id, name) GROUP BY query_id""")
+def result_columns_match(spark, sf):
+    """Execution match with columns aligned by what they select, rows in order."""
+    return aligned_match(*result_tables(spark, sf), ["query_id"])
+
+
 @query("null_values", with_(CL) + "SELECT query_id, side, pos, unit, CASE WHEN is_subquery THEN value END AS value FROM cl")
 def null_values(spark, sf):
     return g.null_values(clauses(spark, sf)).select("query_id", "side", "pos", "unit", "value")

@@ -16,7 +16,7 @@ from tailsplit.queries.registry import query
 from tailsplit.queries.splitting import (REST, SCORED_SQL, SIDED, base_sql, fixed_sql, four_fifths, halves_sql, labelled,
                                          pool, split_score, tenth)
 from tailsplit.scratch import materialize, new_path
-from tailsplit.sources.writers import write_scores
+from tailsplit.sources.writers import write_json_rows, write_scores
 
 TURNS = f"turns AS (SELECT conv_id*{joins.TURNS}+turn AS row_id, text FROM conversations)"
 
@@ -174,6 +174,30 @@ def topk_next_token(spark, sf):
     return lm.top_next_tokens(lm.fit_bigram(docs(spark, sf)), k=10)
 
 
+@query("last_word_log", with_(D, SPLIT_LAST, bigram("d"), cond_occ("lw", "context", "last_word"),
+                              bigram_lp("occ", "occ.row_id, occ.pos, occ.ctx"), """
+    frequent AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS next_rank FROM uni QUALIFY next_rank <= 10),
+    known AS (SELECT ctx, n_ctx FROM ctxs WHERE ctx IN (SELECT ctx FROM occ)),
+    cand AS (SELECT ctx, token, max(n_pair) AS n_pair FROM (SELECT ctx, token, n_pair FROM big WHERE ctx IN (SELECT ctx FROM known)
+      UNION ALL SELECT ctx, token, 0 FROM known CROSS JOIN frequent) GROUP BY ctx, token),
+    probs AS (SELECT c.ctx, c.token, round(0.7 * (c.n_pair / n_ctx::DOUBLE) + (1 - 0.7::DOUBLE) * ((n + 1.0) / (nn + vv)), 9) AS p
+      FROM cand c JOIN known USING (ctx) JOIN uni ON uni.token = c.token CROSS JOIN tot),
+    tops AS (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY p DESC, token) AS next_rank FROM probs QUALIFY next_rank <= 10),
+    alts AS (SELECT ctx, list(token ORDER BY next_rank) AS best FROM tops GROUP BY ctx),
+    fallback AS (SELECT list(token ORDER BY next_rank) AS often FROM frequent),
+    said AS (SELECT row_id, pos, token, lp, coalesce(best, often) AS best FROM occ_lp CROSS JOIN fallback
+      LEFT JOIN alts ON alts.ctx = occ_lp.ctx WHERE token IS NOT NULL)""") + """
+       SELECT row_id, pos, token, round(lp / 1000.0::DOUBLE) / 1e6 AS ll, nullif(list_position(best, token), 0)::BIGINT AS token_rank,
+       array_to_string(list_reverse(best), ' ') AS alternatives FROM said""")
+def last_word_log(spark, sf):
+    """The log of last words as JSON lines, read back."""
+    rows = docs(spark, sf)
+    log = lm.last_word_rows(rows, lm.fit_bigram(rows))
+    path = new_path(spark, "last_words")
+    write_json_rows(log, path)
+    return spark.read.schema(log.schema).json(path).withColumn("alternatives", F.array_join("alternatives", " "))
+
+
 def text_stats(frame: pd.DataFrame):
     """Stand-in for a user's model: a length-based score."""
     n = frame["text"].str.split().str.len()
@@ -218,6 +242,17 @@ def score_strided(spark, sf):
     return windows.score_strided(rows, lm.fit_bigram(rows), stride=512, max_len=512)
 
 
+@query("score_strided_overlap", with_(D, D0, bigram("d"), DOC_OCC, """
+       wocc AS (SELECT row_id, pos, token, CASE WHEN pos > greatest((pos // 512) * 512 + 512 - 1024, 0) THEN ctx END AS ctx FROM occ)""",
+                                      bigram_lp("wocc", "occ.row_id, occ.pos")) + """
+       SELECT row_id, count(DISTINCT pos // 512) AS n_windows, count(*) AS n_tokens, round(sum(lp) / 1000.0::DOUBLE) / 1e6 AS ll_score,
+       round(exp(-(sum(lp) / 1e9::DOUBLE) / count(*)), 6) AS ppl_score FROM occ_lp GROUP BY row_id""")
+def score_strided_overlap(spark, sf):
+    """Windows of 1024 tokens every 512: a token has its context across the border of the scored parts."""
+    rows = docs(spark, sf)
+    return windows.score_strided(rows, lm.fit_bigram(rows))
+
+
 @query("corpus_token_stream", with_(D, unigram("d")) + f""",
        lens AS (SELECT row_id, {tok('text')} AS t FROM d),
        offs AS (SELECT row_id, t, coalesce(sum(len(t)) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM lens),

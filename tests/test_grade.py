@@ -1,7 +1,7 @@
 import pytest
 
 from tailsplit.operators import fk, grade as g, joins
-from tailsplit.operators.compare import multiset_match, result_differences, result_set_match
+from tailsplit.operators.compare import aligned_match, multiset_match, result_differences, result_set_match
 from tailsplit.sources import catalog
 
 FIELDS = ["query_id", "side", "clause", "pos", "unit", "unit_no_agg", "has_agg", "is_not", "op", "conn", "parent_id", "link"]
@@ -204,3 +204,33 @@ def test_result_sets(spark):
     assert result_differences(a.select("v"), b.select("v")).count() == 0
     got = multiset_match(a, b.filter("v = 'x'"), ["q"], ["v"]).first()
     assert (got["label_total"], got["pred_total"], got["cnt"]) == (1, 2, 1)
+
+
+def test_results_align_by_column_in_order(spark):
+    def result(names, rows):
+        return names, rows
+
+    gold = result(["a", "b"], [("1", "x"), ("2", None), ("2", "")])
+    preds = {
+        1: (gold, True),
+        2: (result(["b", "a"], [("x", "1"), (None, "2"), ("", "2")]), True),
+        3: (result(["a", "b"], [("2", None), ("1", "x"), ("2", "")]), False),
+        4: (result(["a", "b"], [("1", "x"), ("2", ""), ("2", None)]), False),
+        5: (result(["a", "b"], [("1", "x"), ("2", None)]), False),
+        6: (result(["a", "b", "c"], [("1", "x", "0"), ("2", None, "0"), ("2", "", "0")]), False),
+        7: (result(["a", "b", "a"], [("7", "x", "1"), ("8", None, "2"), ("9", "", "2")]), True),
+        8: (result(["a", "b", "a"], [("1", "x", "7"), ("2", None, "8"), ("2", "", "9")]), False),
+        9: (result([], []), False),
+        10: (result(["a", "b"], []), False),
+        11: (result(["b", "a"], []), True),
+    }
+    cells, columns = [], []
+    for q, (pred, _) in preds.items():
+        for side, (names, rows) in (("gold", (gold[0], []) if q == 11 else gold), ("pred", pred)):
+            columns += [(q, side, i, n) for i, n in enumerate(names)]
+            cells += [(q, side, i, pos, v) for pos, row in enumerate(rows) for i, v in enumerate(row)]
+    got = aligned_match(spark.createDataFrame(cells, "q long, side string, ordinal long, pos long, value string").repartition(7),
+                        spark.createDataFrame(columns, "q long, side string, ordinal long, name string"), ["q"])
+    assert {r["q"]: r["same_result"] for r in got.collect()} == {q: want for q, (_, want) in preds.items()}
+    assert aligned_match(spark.createDataFrame([], "q long, side string, ordinal long, pos long, value string"),
+                         spark.createDataFrame([], "q long, side string, ordinal long, name string"), ["q"]).count() == 0

@@ -103,6 +103,26 @@ def test_last_word(corpus):
     assert abs(got[0]["ll"] - math.log(p2(m, "the", "mat"))) < 2e-6
 
 
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_last_word_rows(spark, corpus, monkeypatch, broadcast_rows):
+    from tailsplit.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    m = models([r["text"] for r in corpus.collect()])
+    model = lm.fit_bigram(corpus)
+    texts = [(1, "the cat saw the"), (2, "zebra the"), (3, "the"), (4, ""), (5, None), (6, "on the mat.the never-seen"), (7, "the  ")]
+    found = lm.last_word_rows(spark.createDataFrame(texts, "row_id long, text string"), model, k=4).collect()
+    got = {(r["row_id"], r["pos"]): r for r in found}
+    contexts = {(1, 0): "saw", (2, 0): "zebra", (3, 0): None, (6, 0): "the", (6, 1): "never", (6, 2): "-"}
+    assert len(found) == len(got) and set(got) == set(contexts)
+    for place, ctx in contexts.items():
+        best = sorted(m[0], key=lambda t: (-round(p2(m, ctx, t), 9), t))[:4]
+        r = got[place]
+        assert r["alternatives"] == best[::-1]
+        assert r["token_rank"] == (best.index(r["token"]) + 1 if r["token"] in best else None)
+        assert abs(r["ll"] - math.log(p2(m, ctx, r["token"]))) < 2e-6
+
+
 def test_strided_windows(corpus):
     m = models([r["text"] for r in corpus.collect()])
     rows = {r["row_id"]: toks(r["text"]) for r in corpus.collect()}
