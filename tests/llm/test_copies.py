@@ -102,6 +102,28 @@ def test_repeats_of_random_documents(spark, seed):
     assert sorted(got) == sorted(plain_repeats(docs, 20))
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_repeats_of_a_passage_in_most_documents(spark, batch):
+    """Batches of seven rows cut the runs of an anchor."""
+    rng = random.Random(batch)
+    common = [f"c{i}" for i in range(45)]  # in the same and in other surroundings
+    docs = []
+    for i in range(90):
+        before, after = ([f"{rng.choice('xyz')}{rng.randint(0, 2)}" for _ in range(rng.randint(0, 25))] for _ in range(2))
+        words = [*before, *common, *after] if i % 3 else common * (1 + i % 2)
+        docs.append((None if i == 7 else i % 80, " ".join(words)))
+    docs += docs[:9]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame, 20).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(got, key=str) == sorted(plain_repeats(docs, 20), key=str)
+
+
 VECTORS = [(0, [1.0, 0.0, 0.5], "a"), (1, [1.0, 0.0, 0.5], "a"), (2, [1.0, 0.01, 0.5], "a"), (3, [0.0, 1.0, 0.0], "a"),
            (4, [1.0, 0.0, 0.5], "b"), (5, None, "a"), (6, [0.0, 0.0, 0.0], "a"), (7, [float("nan"), 1.0, 0.0], "a"),
            (8, [None, 1.0, 0.0], "a"), (9, [float("inf"), 1.0, 0.0], "a"), (10, [0.0, 1.0, 0.01], None),
