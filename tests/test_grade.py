@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tailsplit.operators import fk, grade as g, joins
 from tailsplit.operators.compare import aligned_match, multiset_match, result_differences, result_set_match
@@ -234,3 +235,25 @@ def test_results_align_by_column_in_order(spark):
     assert {r["q"]: r["same_result"] for r in got.collect()} == {q: want for q, (_, want) in preds.items()}
     assert aligned_match(spark.createDataFrame([], "q long, side string, ordinal long, pos long, value string"),
                          spark.createDataFrame([], "q long, side string, ordinal long, name string"), ["q"]).count() == 0
+
+
+def test_orders_without_a_parent_are_not_gathered_by_the_join(spark, tmp_path):
+    from tailsplit.queries import grading
+    n = 3000
+    lines = spark.range(n).selectExpr(
+        "id as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 7 + 1 as int) as l_linenumber", "20.0D as l_quantity",
+        "0.05D as l_discount", "0.02D as l_tax", "'N' as l_returnflag", "'O' as l_linestatus").where("id <> 44")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = grading.clauses(spark, str(tmp_path))
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+        kids = {r["query_id"]: r["parent_id"] for r in rows.where("parent_id is not null").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 2 * (n - 1) and max(sizes) < n
+    # The parent of 45 is not there.
+    assert kids == {k: k - 1 for k in range(n) if k % 30 == 15 and k != 45}
