@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tailsplit.operators import atoms
 
@@ -82,3 +83,15 @@ def test_nothing_is_lost(spark, seed):
     train = {x["row_id"] for x in out.filter("picked").collect()}
     assert set().union(*(texts[i].split() for i in range(60))) == set().union(*(texts[i].split() for i in train))
     assert len(train) == 40 + report["grown_by"]
+
+
+def test_letter_triples_cover_every_place_and_do_not_walk_a_long_text_again(spark):
+    import time
+
+    from tailsplit.queries.scoring import letter_triples
+    texts = [None, "", "a", "ab", "abc", "aé\U0001f600b\nc", "\U0001f600" * 4, "日本語 x", "abcdefghij" * 30_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    began = time.time()
+    got = {r["row_id"]: r["t"] or [] for r in rows.select("row_id", letter_triples(F.col("text")).alias("t")).collect()}
+    assert time.time() - began < 20
+    assert got == {i: [t[k:k + 3] for k in range(len(t or "") - 2)] for i, t in enumerate(texts)}
