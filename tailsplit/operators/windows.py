@@ -53,8 +53,8 @@ def score_strided(df: DataFrame, model: lm.Bigram, text: str = "text", row_id: s
     start = F.col("pos") - F.col("pos") % F.lit(stride)
     begin = F.greatest(start + stride - max_len, F.lit(0))
     occ = token_occurrences(df, text, row_id).withColumn("window_start", start)
-    occ = occ.withColumn("ctx", F.when(F.col("pos") > begin, F.col("ctx")))
-    scored = lm.with_bigram_lp(occ, model, [row_id, "pos"])
+    occ = occ.withColumn("ctx", F.when(F.col("pos") > begin, F.col("ctx"))).drop("pos")
+    scored = lm.with_bigram_lp(occ, model, [row_id, "window_start"])
     per_window = scored.groupBy(row_id, "window_start").agg(F.count("lp").alias("n"), F.sum("lp").alias("s"))
     totals = per_window.groupBy(row_id).agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_tokens"),
                                             F.sum("s").alias("s"))
@@ -73,10 +73,11 @@ def corpus_windows(df: DataFrame, model: lm.Unigram, text: str = "text", row_id:
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     offsets = running_total(counts, "_n", [F.col(row_id).asc()], name="_before").drop("_n")
     placed = df.select(row_id, F.col(text).alias("_text")).join(offsets, row_id)
-    toks = placed.select(row_id, "_before", F.posexplode(tokens("_text")).alias("_pos", "token"))
-    scored = lm.with_unigram_lp(toks, model, [row_id, "_pos"])
+    toks = placed.select("_before", F.posexplode(tokens("_text")).alias("_pos", "token"))
     place = F.col("_before") + F.col("_pos")
-    per_window = scored.groupBy((place - place % F.lit(stride)).alias("window_start")).agg(F.sum("lp").alias("s"))
+    # Frequent tokens are added up per window before the shuffle.
+    occurrences = toks.select((place - place % F.lit(stride)).alias("window_start"), "token")
+    per_window = lm.unigram_sums(occurrences, model, ["window_start"]).drop("n_tokens")
     bounds = window_bounds(F.col("window_start"), F.lit(total), stride, max_len)
     return per_window.withColumns(bounds).withColumn("ll", lm.micro(F.col("s"))).drop("s")
 

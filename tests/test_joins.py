@@ -83,3 +83,22 @@ def test_turn_ids_of_long_conversations_differ(spark):
     assert got.count() == got.select("row_id").distinct().count() == 2 * 1002
     far = spark.createDataFrame([(1, 2 ** 31 - 1), (2, 0), (-1, 5)], "conv_id long, turn int")
     assert far.select(joins.turn_id()).distinct().count() == 3
+
+
+def test_answered_rows_stay_out_of_the_shuffle(tables):
+    """Read twice, the rows that the broadcast answers and those without a key are not exchanged."""
+    df, dim = tables
+    plain = rows(df.join(dim, "k", "left"))
+    for head in (0, 1, 10, 1000):
+        assert rows(joins.lookup(df, dim, ["k"], freq="n", rows=1, head_rows=head, reread=True)) == plain
+    settled, rest = joins.settled_and_open(df, dim.filter("k = 'hot'"), ["k"])
+    assert settled.filter("k = 'hot' OR k IS NULL").count() == settled.count() == df.filter("k = 'hot' OR k IS NULL").count()
+    assert settled.count() + rest.count() == df.count()
+
+
+def test_the_head_takes_the_room_it_has(tables):
+    _, dim = tables
+    assert dim.filter(joins.head_of(dim, "n", 1)).select("k").collect() == [("hot",)]
+    assert dim.filter(joins.head_of(dim, "n", dim.count())).count() == dim.count()
+    for room in (0, 1, 5, 50):
+        assert dim.filter(joins.head_of(dim, "n", room)).count() <= room
