@@ -33,7 +33,7 @@ def encode(df: DataFrame, vocab: DataFrame, columns: dict[str, str], row_id: str
                       for out, text in columns.items()])
     toks = df.select(row_id, F.explode(sides).alias("s")).select(
         row_id, "s.out", F.posexplode_outer("s.toks").alias("pos", "token"))
-    known = lookup(toks, vocab, ["token"], freq="n", spread_by=[row_id, "pos"])
+    known = lookup(toks, vocab, ["token"], freq="n", spread_by=[row_id, "pos"], reread=True)
     entry = F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
     used = F.col("token").isNotNull()
     packed = known.groupBy(row_id).agg(*[
