@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,45 +38,60 @@ def result_set_match(pred: DataFrame, gold: DataFrame, columns: Sequence[str], b
     return counts.groupBy(*by).agg(same) if by else counts.agg(same)
 
 
-def _list_signature(keys: Sequence[Column], present: Column) -> list[Column]:
-    """Sums that tell one bag of keys from another: both halves of two 64-bit hashes, added up as whole numbers.
+def _hashes(names: Sequence[str], *keys: Column) -> list[Column]:
+    """Two 64-bit hashes of the keys. Null and empty values differ."""
+    parts = [part for key in keys for part in (key.isNull(), key)]
+    return [F.xxhash64(F.lit(salt), *parts).alias(name) for salt, name in enumerate(names)]
 
-    They merge in any order. Halves of 32 bits leave room for 2^31 rows; beyond that the sum fails and is never wrong.
-    Null and empty values differ. Two different bags agree with a chance of about 2^-128.
+
+def _halves(hashes: Sequence[str]) -> list[Column]:
+    """Both halves of each hash. Their sums, as whole numbers, tell one bag of hashes from another.
+
+    They merge in any order. Halves of 32 bits leave room for 2^31 rows; beyond that a sum fails and is never wrong.
+    Two different bags agree with a chance of about 2^-128.
     """
-    sums = []
-    for salt in (0, 1):
-        h = F.xxhash64(F.lit(salt), *[part for key in keys for part in (key.isNull(), key)])
-        sums += [F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))]
-    return [F.coalesce(F.sum(F.when(present, part)), F.lit(0)) for part in sums]
+    return [half for h in hashes for half in (F.shiftright(h, 32), F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)))]
+
+
+RUN_BITS = 16  # cells are first added up over runs of 2^16 rows of a result
 
 
 def aligned_match(cells: DataFrame, columns: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, same_result): whether both results have the same output columns, each with the same values in the same order.
 
     ``columns`` (by, side, ordinal, name) has a row per output column, so that empty results have columns too; ``cells``
-    (by, side, ordinal, pos, value) a row per value, ``pos`` being the row's place in its result. Sides are "pred" and
+    (by, side, ordinal, pos, value) a row per value, ``pos`` being the number of the row in its result. Sides are "pred" and
     "gold". Columns are aligned by name, wherever they stand; of one name the last column counts. A result without
     columns, that of a failed query, is the same as none. Cells of a column that is not listed are ignored.
 
-    Each column shrinks to one signature before the shuffle: rows are not sorted, joined or gathered.
+    Cells and names are exchanged once, as two hashes, and cells are added up where they arrive: adding them up before would
+    hold nearly every cell where the rows of a result lie scattered. Runs of rows keep a long result from ending in one task.
+    One more exchange brings the columns of a result together; all that follows stays in place. Groups and sums are
+    numbers, so that Spark hashes them instead of sorting. Names listed for one place count as one of them.
     """
     by = list(by)
-    place = [*by, "side", "ordinal"]
-    kinds = {f.name: f.dataType for f in cells.schema} | {f.name: f.dataType for f in columns.schema}
-    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("name", "pos", "value")}
-    both = columns.select(*place, "name", none["pos"], none["value"], F.lit(False).alias("_cell")).unionByName(
-        cells.select(*place, none["name"], "pos", "value", F.lit(True).alias("_cell")))
-    sums = _list_signature([F.col("pos"), F.col("value")], F.col("_cell"))
-    signed = both.groupBy(*place).agg(
-        F.max("name").alias("name"), F.count_if("_cell").alias("_n"), *[s.alias(f"_s{i}") for i, s in enumerate(sums)])
-    signature = F.struct("_n", *[f"_s{i}" for i in range(len(sums))])
-    last = signed.filter(F.col("name").isNotNull()).groupBy(*by, "side", "name").agg(
-        F.max_by(signature, F.col("ordinal")).alias("_list"))
-    aligned = last.groupBy(*by, "name").agg(F.count(F.lit(1)).alias("_sides"), F.min("_list").alias("_low"),
-                                            F.max("_list").alias("_high"))
-    return aligned.groupBy(*by).agg(
-        F.bool_and((F.col("_sides") == 2) & (F.col("_low") == F.col("_high"))).alias("same_result"))
+    place = [*by, "_sign", "ordinal"]
+    sign = F.when(F.col("side") == "pred", 1).when(F.col("side") == "gold", -1).alias("_sign")
+    run = F.shiftright(F.col("pos").cast("long"), RUN_BITS)
+    both = cells.select(*by, sign, "ordinal", run.alias("_run"), F.lit(False).alias("_named"),
+                        *_hashes(["_h0", "_h1"], F.col("pos"), F.col("value"))).unionByName(
+        columns.filter(F.col("name").isNotNull()).select(
+            *by, sign, "ordinal", F.lit(0).cast("long").alias("_run"), F.lit(True).alias("_named"),
+            *_hashes(["_h0", "_h1"], F.col("name"))))
+    sums = ["_s0", "_s1", "_s2", "_s3"]
+    name, cell = (lambda h: F.when(F.col("_named"), h)), (lambda part: F.when(F.col("_named"), 0).otherwise(part))
+    runs = both.repartition(*place, "_run").groupBy(*place, "_run").agg(
+        F.max(name(F.col("_h0"))).alias("_n0"), F.max(name(F.col("_h1"))).alias("_n1"),
+        *[F.sum(cell(half)).alias(s) for s, half in zip(sums, _halves(["_h0", "_h1"]), strict=True)])
+    lists = (runs.repartition(*by) if by else runs).groupBy(*place).agg(
+        F.max("_n0").alias("_n0"), F.max("_n1").alias("_n1"), *[F.sum(s).alias(s) for s in sums])
+    last = lists.filter(F.col("_n0").isNotNull()).select(
+        *place, "_n0", "_n1", *_hashes(["_l0", "_l1"], *[F.col(s) for s in sums])).groupBy(*by, "_sign", "_n0", "_n1").agg(
+        *[F.max_by(h, "ordinal").alias(h) for h in ("_l0", "_l1")])
+    signed = last.select(*by, "_sign", *_hashes(["_h0", "_h1"], *[F.col(c) for c in ("_n0", "_n1", "_l0", "_l1")]))
+    apart = signed.groupBy(*by).agg(
+        *[F.sum(F.col("_sign") * half).alias(s) for s, half in zip(sums, _halves(["_h0", "_h1"]), strict=True)])
+    return apart.select(*by, reduce(lambda a, b: a & b, [F.col(s) == 0 for s in sums]).alias("same_result"))
 
 
 def result_differences(pred: DataFrame, gold: DataFrame) -> DataFrame:

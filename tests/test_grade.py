@@ -237,6 +237,34 @@ def test_results_align_by_column_in_order(spark):
                          spark.createDataFrame([], "q long, side string, ordinal long, name string"), ["q"]).count() == 0
 
 
+def test_results_of_many_runs_align_without_sorting(spark, tmp_path):
+    """Rows may lie scattered and far apart; places may repeat. Cells are not held before the exchange, nor groups sorted."""
+    from tailsplit.queries import grading
+    step = 1 << 15
+    gold = [(pos * step, str(pos % 3)) for pos in range(9)]
+    preds = {1: (gold, True), 2: (gold[:-1], False), 3: (gold[:-1] + [(8 * step, "x")], False),
+             4: ([(4 * step, v) if pos == 3 * step else (pos, v) for pos, v in gold], False), 5: (gold + gold[:1], False)}
+    cells, columns = [], []
+    for q, (pred, _) in preds.items():
+        for side, rows in (("gold", gold), ("pred", pred)):
+            columns += [(q, side, 0, "a"), (q, side, 0, "a"), (q, side, 1, None)]
+            cells += [(q, side, o, pos, v + side * o) for pos, v in rows for o in (0, 1)]
+    columns.append((6, "gold", 0, None))
+    got = aligned_match(
+        spark.createDataFrame(cells, "q long, side string, ordinal long, pos long, value string").repartition(5, "pos"),
+        spark.createDataFrame(columns, "q long, side string, ordinal long, name string"), ["q"])
+    assert {r["q"]: r["same_result"] for r in got.collect()} == {q: want for q, (_, want) in preds.items()}
+
+    spark.createDataFrame([(k,) for k in range(40)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, 3, 4, n, 0.1, "N") for k in range(40) for n in (1, 2)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_returnflag string"
+                          ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = grading.result_columns_match(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "lambda" not in plan and plan.count("Exchange hashpartitioning") == 2
+    scan = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "l_linenumber" in scan and "Aggregate" not in scan
+
+
 def test_orders_without_a_parent_are_not_gathered_by_the_join(spark, tmp_path):
     from tailsplit.queries import grading
     n = 3000
