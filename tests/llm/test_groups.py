@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tailsplit.llm import prefixes, sharding, spelling
+from tailsplit.operators import joins
 from tests.llm import cases
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -49,6 +50,13 @@ def test_shards(spark, clashing, shards):
     assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got), key=str) == plain_shards(cases.rows(), shards)
 
 
+def test_shards_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins, "HEAD_ROWS", 1)
+    got = sharding.shard(cases.documents(spark), 4).collect()
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got), key=str) == plain_shards(cases.rows(), 4)
+
+
 def test_every_shard_has_the_mixture(spark):
     rng = random.Random(1)
     rows = [(i, f"text {i % 7}", "en", rng.choices(["hot", "b", "c", None], [60, 30, 9, 1])[0], 6) for i in range(2000)]
@@ -227,6 +235,20 @@ def test_trie(spark, monkeypatch, small):
     assert sorted((tuple(r) for r in got), key=str) == plain_trie(rows)
 
 
+def test_trie_beyond_a_broadcast(spark, monkeypatch):
+    """Parents that are too many to be broadcast as a whole, some of them with many children."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(joins, "HEAD_ROWS", 2)
+    for name, value in {"BLOCK_NODES": 20, "LAST_ARCS": 8, "STRETCH": 16}.items():
+        monkeypatch.setattr(prefixes, name, value)
+    rng = random.Random(5)
+    rows = talk(rng, [*range(0, 40), *range(98, 110), -5, -100])
+    rows += [(300 + i, t, "user", "the same" if t < 8 else f"end {i}") for i in range(30) for t in range(9)]
+    rng.shuffle(rows)
+    got = prefixes.prefix_trie(spark.createDataFrame(rows, CONVERSATIONS).repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_trie(rows)
+
+
 def test_one_long_conversation(spark):
     rows = [(7, t, "user", f"turn {t}") for t in range(3000)] + [(8, 0, "user", "x")]
     got = prefixes.prefix_trie(spark.createDataFrame(rows, CONVERSATIONS))
