@@ -87,6 +87,16 @@ def test_keywords(spark):
     assert partial[1, "keywords"] == (8, 2, 2, 0)
 
 
+def test_keyword_sets_meet(spark):
+    rows = [unit(1, "gold", "where", 0, "a", op="like"), unit(1, "gold", "where", 1, "b", neg=True), unit(1, "pred", "where", 0, "a"),
+            unit(2, "gold", "where", 0, "a"), unit(2, "pred", "where", 0, "b"), unit(3, "pred", "limit", 0, "1"),
+            unit(None, "gold", "limit", 0, "1"), unit(None, "pred", "limit", 0, "2"), unit(4, "gold", "select", 0, "a")]
+    got = {r["keyword"]: (r["n_pred"], r["n_gold"], r["n_both"], r["n_matched"]) for r in g.keyword_counts(frame(spark, rows)).collect()}
+    assert got == {"where": (2, 2, 2, 1), "like": (0, 1, 0, 0), "not": (0, 1, 0, 0), "limit": (2, 1, 1, 1)}
+    got = {r["query_id"]: (r["type"], r["label_total"], r["pred_total"], r["cnt"]) for r in g.keyword_match(frame(spark, rows)).collect()}
+    assert got == {1: ("keywords", 3, 1, 1), 2: ("keywords", 1, 1, 1), 3: ("keywords", 0, 1, 0), None: ("keywords", 1, 1, 1)}
+
+
 def test_missing_prediction_is_an_empty_query(spark):
     partial, exact = graded(spark, [unit(1, "gold", "select", 0, "a"), unit(1, "gold", "from", 0, "t")])
     assert exact == {1: 0}
