@@ -97,6 +97,22 @@ def test_keyword_sets_meet(spark):
     assert got == {1: ("keywords", 3, 1, 1), 2: ("keywords", 1, 1, 1), 3: ("keywords", 0, 1, 0), None: ("keywords", 1, 1, 1)}
 
 
+def test_words_unknown_and_known(spark):
+    """Known words of a query are one number; any other word still counts, once a side."""
+    rows = both(unit(1, "", "orderBy", 0, "a", op="nulls last"), unit(1, "", "orderBy", 1, "b", op="nulls last"),
+                unit(1, "", "where", 0, "w", conn="xor")) + [
+        unit(1, "gold", "orderBy", 2, "c", op="where"), unit(1, "pred", "orderBy", 2, "c", op="random"),
+        unit(1, "gold", "where", 1, "v", conn="and"), unit(2, "pred", "on", 0, "j", parent=1, link="union"), unit(3, None, "limit", 0, "1")]
+    got = {r["query_id"]: r for r in g.compare_sides(frame(spark, rows)).collect()}
+    # order, nulls last, where on both sides; random and union only in the prediction.
+    assert [got[1][f"keywords|{c}"] for c in ("gold", "pred", "match")] == [3, 5, 3]
+    assert [got[1][f"connectors|{c}"] for c in ("gold", "pred", "match")] == [2, 1, 1]
+    assert {q: r["has_gold"] for q, r in got.items()} == {1: True, 2: False, 3: False}
+    kinds = ("where", "where(no OP)", "connectors", "keywords")
+    listed = frame(spark, both(unit(1, "", "where", 0, "a", op="like", neg=True, conn="or"))).withColumn("_bits", F.lit(0).cast("long"))
+    assert listed.select(F.inline(g._entries(kinds, packed=True))).count() == 4
+
+
 def test_missing_prediction_is_an_empty_query(spark):
     partial, exact = graded(spark, [unit(1, "gold", "select", 0, "a"), unit(1, "gold", "from", 0, "t")])
     assert exact == {1: 0}
