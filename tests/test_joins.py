@@ -102,3 +102,21 @@ def test_the_head_takes_the_room_it_has(tables):
     assert dim.filter(joins.head_of(dim, "n", dim.count())).count() == dim.count()
     for room in (0, 1, 5, 50):
         assert dim.filter(joins.head_of(dim, "n", room)).count() <= room
+
+
+@pytest.mark.parametrize("kinds", [("string", "string"), ("string", "int"), ("int", "int")])
+def test_settled_and_open(spark, kinds):
+    """Strings are looked up by one number; keys of other types, which may differ on both sides, are compared as they are."""
+    make = {"string": str, "int": int}
+    rows = [(i, *(None if (i + k) % 7 == 0 else make[kind]((i * k) % 5) for k, kind in enumerate(kinds, 1))) for i in range(60)]
+    head = [(*(make[kind](v) for v, kind in zip(pair, kinds)), n) for n, pair in enumerate([(0, 0), (1, 2), (3, 1)])]
+    df = spark.createDataFrame(rows, f"id long, a {kinds[0]}, b {kinds[1]}")
+    wide = [k.replace("int", "long") for k in kinds]
+    dim = spark.createDataFrame(head, f"a {wide[0]}, b {wide[1]}, n long")
+    settled, rest = joins.settled_and_open(df, dim, ["a", "b"])
+    known = {h[:2]: h[2] for h in head}
+    want = {r[0]: known.get(r[1:]) for r in rows if None in r or r[1:] in known}
+    assert {r["id"]: r["n"] for r in settled.collect()} == want
+    assert sorted(r["id"] for r in rest.collect()) == [r[0] for r in rows if r[0] not in want]
+    plan = settled._jdf.queryExecution().optimizedPlan().toString()
+    assert ("xxhash64" in plan) == (kinds == ("string", "string"))
