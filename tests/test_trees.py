@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tailsplit.operators import grade as g
+from tailsplit.operators import trees
 from tailsplit.operators.trees import clause_tables
 from tailsplit.scratch import materialize
 
@@ -106,6 +107,18 @@ def test_matches(spark):
     cases.check(spark)
 
 
+def test_units_are_written_once(spark, monkeypatch):
+    """As they stand in the clause table; neither before that nor with the columns that they are made of."""
+    written = []
+    monkeypatch.setattr(trees, "materialize", lambda df, name="table": written.append((name, df.columns)) or materialize(df, name))
+    cases = Cases()
+    units, nodes = nest(2)
+    cases.add((1, 1), units, units, nodes, nodes)
+    cases.check(spark)
+    assert [name for name, columns in written if {"unit", "col1"} & {*columns}] == ["rebuilt"]
+    assert not {"col1", "value1", "operand"} & {*dict(written)["rebuilt"]}
+
+
 @pytest.mark.parametrize("nodes", [[(3, 2, "value")], [(3, 2, "value"), (2, 3, "value")]])
 def test_a_lost_sub_query_is_an_error(spark, nodes):
     cases = Cases()
